@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .neardup import op3_inverted_join
+from .packing import op4_deficit_round_robin
 from .sharding import op6_virtual_slots
+from .substring import op2_doubling
+from .tokencount import op1_separator_scan
 from .warc import op10_index_first
 
-QUERIES = {f.__name__: f for f in (op6_virtual_slots, op10_index_first)}
+QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_doubling, op3_inverted_join, op4_deficit_round_robin, op6_virtual_slots, op10_index_first)}
 
 ORACLE_SQL: dict[str, str] = {}

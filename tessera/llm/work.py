@@ -22,8 +22,10 @@ _FALLBACK: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
+    if found:  # with its scheme, as a path without one means the cluster's default store
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return (whole if "://" in whole else whole.replace("file:/", "file:///", 1)).rstrip("/")
     key = spark.sparkContext.applicationId
     if key not in _FALLBACK:
         _FALLBACK[key] = "file://" + tempfile.mkdtemp(prefix="tessera-")
