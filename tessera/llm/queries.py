@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+from .ann import op8_pruned_graph
+from .langid import op9_string_kernel
+from .lexicon import op5_transducer
 from .neardup import op3_inverted_join
 from .packing import op4_deficit_round_robin
+from .quality import op7_hashed_regression
 from .sharding import op6_virtual_slots
 from .substring import op2_doubling
 from .tokencount import op1_separator_scan
 from .warc import op10_index_first
 
-QUERIES = {f.__name__: f for f in (op1_separator_scan, op2_doubling, op3_inverted_join, op4_deficit_round_robin, op6_virtual_slots, op10_index_first)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_separator_scan,
+        op2_doubling,
+        op3_inverted_join,
+        op4_deficit_round_robin,
+        op5_transducer,
+        op6_virtual_slots,
+        op7_hashed_regression,
+        op8_pruned_graph,
+        op9_string_kernel,
+        op10_index_first,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
