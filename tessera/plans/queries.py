@@ -1,10 +1,323 @@
-"""Registered queries of the store's own operators and their SQL twins."""
+"""Registered queries of the store's own operators, over whole tables, and their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions import codecs
+from tessera.functions.filters import normalize_filters
+from tessera.operators import arrays, evolve, refs
+
+from .store import over_tables
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return add
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
+
+
+@_query("load_named", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+def load_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dataset by name, three of its fields."""
+    return over_tables(spark, sf_dir)("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+
+
+@_query("toc_counts", " UNION ALL ".join(f"SELECT '/{t}' AS path, count(*) AS n_rows FROM {t}" for t in TABLES))
+def toc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of contents with the length of each dataset; counts come from Parquet footers."""
+    read = over_tables(spark, sf_dir)
+    parts = [read(t).groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(f"/{t}").alias("path"), "n_rows") for t in TABLES]
+    return refs.append(*parts)
+
+
+@_query("path_tree", "SELECT concat('/', event_type, '/', user_id) AS path, count(*) AS n_rows FROM events GROUP BY 1")
+def path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries under nested group paths."""
+    paths = over_tables(spark, sf_dir)("events").select(F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path"))
+    return paths.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@_query("slice_nd", "SELECT vec_id, embedding[2:4] AS part FROM embeddings")
+def slice_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of each array."""
+    return over_tables(spark, sf_dir)("embeddings").select("vec_id", arrays.slice_column(F.col("embedding"), 1, 4).alias("part"))
+
+
+@_query("slice_stride", "SELECT vec_id, embedding[1:64:2] AS part FROM embeddings")
+def slice_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second element of each array."""
+    return over_tables(spark, sf_dir)("embeddings").select("vec_id", arrays.slice_column(F.col("embedding"), 0, 64, 2).alias("part"))
+
+
+@_query(
+    "chunk_grid",
+    """SELECT vec_id, CAST(i // 7 AS INTEGER) AS chunk, CAST(least(7, len(embedding) - (i // 7) * 7) AS INTEGER) AS size, CAST(i AS INTEGER) AS idx, embedding[i + 1] AS value
+       FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""",
+)
+def chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays cut into chunks of seven, the last one clipped, and read back element by element."""
+    chunks = arrays.chunk_rows(over_tables(spark, sf_dir)("embeddings"), ["vec_id"], "embedding", 7)
+    return chunks.select("vec_id", "chunk", "size", F.posexplode("values").alias("k", "value")).select("vec_id", "chunk", "size", (F.col("chunk") * 7 + F.col("k")).cast("int").alias("idx"), "value")
+
+
+@_query(
+    "update_slice",
+    """SELECT vec_id, CAST(i AS INTEGER) AS idx, CASE WHEN i BETWEEN 2 AND 4 THEN CAST(-1 AS FLOAT) ELSE embedding[i + 1] END AS value
+       FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""",
+)
+def update_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements 2 to 4 of every array set anew."""
+    changed = over_tables(spark, sf_dir)("embeddings").select("vec_id", arrays.update_column(F.col("embedding"), 2, 5, F.lit(-1.0).cast("float")).alias("embedding"))
+    return changed.select("vec_id", F.posexplode("embedding").alias("idx", "value"))
+
+
+@_query(
+    "slice_matrix",
+    """SELECT CAST(vec_id - 10 AS INTEGER) AS i0, CAST((i - 5) // 3 AS INTEGER) AS i1, CAST(embedding[i + 1] AS DOUBLE) AS value
+       FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings) WHERE vec_id BETWEEN 10 AND 299 AND i BETWEEN 5 AND 49 AND (i - 5) % 3 = 0""",
+)
+def slice_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as one matrix in chunk rows, and a strided block of it."""
+    table = over_tables(spark, sf_dir)("embeddings")
+    rows, columns = table.agg(F.max("vec_id") + 1, F.max(F.size("embedding"))).first()
+    grid = arrays.Grid.of((rows, columns), (128, 16))
+    cells = table.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "value")).select("i", "j", F.col("value").cast("double").alias("value"))
+    chunks = arrays.elements_to_chunks(cells, grid, ["i", "j"])
+    return arrays.slice_chunks(chunks, grid, (slice(10, 300), slice(5, 50, 3)))
+
+
+@_query("prealloc_fill", "SELECT CAST(r.idx AS INTEGER) AS idx, coalesce(e.value, 0.0) AS value FROM (SELECT unnest(range(max(event_id) + 1)) AS idx FROM events) r LEFT JOIN (SELECT event_id, value FROM events WHERE event_id % 2 = 0) e ON e.event_id = r.idx")
+def prealloc_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array with a cell per event id, made first and filled at even places: the others read as 0."""
+    events = over_tables(spark, sf_dir)("events")
+    cells = events.agg(F.max("event_id") + 1).first()[0]
+    written = events.where(F.col("event_id") % 2 == 0).select("event_id", "value")
+    return spark.range(cells).join(written, F.col("id") == F.col("event_id"), "left").select(F.col("id").cast("int").alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+@_query(
+    "inline_union",
+    """SELECT event_id, CAST(CASE WHEN value < 50 THEN 0 ELSE 255 END AS INTEGER) AS mask, CAST(CASE WHEN value < 50 THEN floor(value) ELSE value END AS DOUBLE) AS value FROM events""",
+)
+def inline_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as integers or floats in one union, written as (mask, t1, t2) and read back."""
+    small = F.col("value") < 50
+    union = codecs.union_encode(F.col("value"), small, F.floor("value").cast("long"), F.col("value"))
+    return over_tables(spark, sf_dir)("events").select("event_id", union.alias("u")).select("event_id", F.col("u.mask").alias("mask"), codecs.union_decode(F.col("u"), "double").alias("value"))
+
+
+@_query("nullable_union", "SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value FROM events")
+def nullable_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values or missing, places kept."""
+    stored = codecs.missing_encode(F.when(F.col("event_type") == "click", None).otherwise(F.col("value")))
+    return over_tables(spark, sf_dir)("events").select("event_id", stored.alias("s")).select("event_id", codecs.missing_decode(F.col("s")).alias("value"))
+
+
+@_query(
+    "dict_pairs",
+    """SELECT o_orderkey, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders""",
+)
+def dict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary per order, stored as pairs, read back as a map, listed as rows."""
+    made = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
+    stored = over_tables(spark, sf_dir)("orders").select("o_orderkey", codecs.dict_to_pairs(made).alias("pairs"))
+    return stored.select("o_orderkey", codecs.pairs_to_dict(F.col("pairs")).alias("m")).select("o_orderkey", F.explode("m").alias("key", "value"))
+
+
+@_query("ragged_pack", "SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS quantities FROM lineitem GROUP BY l_orderkey")
+def ragged_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of each order as one array of any length."""
+    return refs.ragged_pack(over_tables(spark, sf_dir)("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_quantity", "quantities")
+
+
+@_query(
+    "ragged_unpack",
+    """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS INTEGER) AS idx, l_quantity AS quantity FROM lineitem""",
+)
+def ragged_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed arrays as rows again."""
+    return refs.ragged_unpack(ragged_pack(spark, sf_dir), ["l_orderkey"], "quantities", "quantity")
+
+
+@_query("ref_resolve", "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, p.p_name AS part_name, p.p_size AS part_size FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey")
+def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to parts resolved to their fields."""
+    read = over_tables(spark, sf_dir)
+    found = refs.resolve(read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", read("part"), "p_partkey", ["p_name", "p_size"], "part")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.col("part.p_name").alias("part_name"), F.col("part.p_size").alias("part_size"))
+
+
+@_query("ref_dedup", "SELECT d.doc_id, o.ref, length(d.text) AS n FROM documents d JOIN (SELECT text, min(doc_id) AS ref FROM documents GROUP BY text) o ON d.text = o.text")
+def ref_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts stored once: every document refers to the smallest id that holds its text."""
+    docs = over_tables(spark, sf_dir)("documents").select("doc_id", "text")
+    objects, references = refs.dedup(docs, ["text"], "doc_id")
+    lengths = objects.select(F.col("ref").alias("key"), F.length("text").cast("long").alias("n"))
+    return references.join(lengths, references["ref"] == lengths["key"]).select("doc_id", "ref", "n")
+
+
+@_query("ref_edges", "SELECT l_orderkey AS src, 'l_partkey' AS field, l_partkey AS dst FROM lineitem UNION ALL SELECT l_orderkey, 'l_suppkey', l_suppkey FROM lineitem")
+def ref_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of references as rows."""
+    return refs.edges(over_tables(spark, sf_dir)("lineitem"), "l_orderkey", ["l_partkey", "l_suppkey"])
+
+
+def _upgraded(lines: DataFrame) -> DataFrame:
+    """Stored (x int, y double) as the new (x double, y double, z = x * y)."""
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.col("x").cast("double").alias("x"), "y").withColumn("z", F.col("x") * F.col("y"))
+
+
+@_query("upgrade_struct", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_linenumber AS DOUBLE) AS x, l_quantity AS y, l_linenumber * l_quantity AS z FROM lineitem")
+def upgrade_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records upgraded at read time."""
+    stored = over_tables(spark, sf_dir)("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"))
+    return evolve.evolve(stored, evolve.Upgrade(_upgraded), {})[0]
+
+
+@_query("convert_field", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def convert_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An integer field read as a double, by name."""
+    want = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.DoubleType())])
+    return evolve.match_fields(over_tables(spark, sf_dir)("part").select("p_partkey", "p_size"), want, "part")
+
+
+@_query(
+    "typemap_rename",
+    "SELECT c_custkey AS id, c_acctbal AS balance FROM customer",
+)
+def typemap_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type map, given as a function, that sends stored customers to a new type."""
+    target = evolve.Upgrade(lambda df: df.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")))
+    _, found = evolve.resolve(lambda name, path, params: target if name == "Customer" else None, "Customer", "customer")
+    return evolve.evolve(over_tables(spark, sf_dir)("customer"), found, {}, "customer")[0]
+
+
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@_query(
+    "codec_base62",
+    "SELECT o_orderkey, concat(" + ", ".join(f"substr('{_DIGITS}', CAST((o_orderkey // {62**k}) % 62 AS INTEGER) + 1, 1)" for k in (3, 2, 1, 0)) + ") AS code, o_orderkey AS back FROM orders",
+)
+def codec_base62(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers as base-62 text and back, by column expressions."""
+    coded = over_tables(spark, sf_dir)("orders").select("o_orderkey", codecs.base62_encode(F.col("o_orderkey"), 4).alias("code"))
+    return coded.withColumn("back", codecs.base62_decode(F.col("code")))
+
+
+@_query("append_union", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def append_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets appended by field name."""
+    read = over_tables(spark, sf_dir)
+    customers = read("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    suppliers = read("supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    return refs.append(customers, suppliers)
+
+
+@_query("delete_keys", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')")
+def delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a tombstone covers are gone."""
+    read = over_tables(spark, sf_dir)
+    tombstones = read("region").where("r_name = 'ASIA'").select("r_regionkey")
+    return read("nation").join(tombstones, F.col("n_regionkey") == F.col("r_regionkey"), "left_anti").select("n_nationkey", "n_name")
+
+
+@_query("attrs_rows", "SELECT n_name AS name, 'regionkey' AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_name, 'nationkey', CAST(n_nationkey AS VARCHAR) FROM nation")
+def attrs_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes as rows."""
+    held = F.create_map(F.lit("regionkey"), F.col("n_regionkey").cast("string"), F.lit("nationkey"), F.col("n_nationkey").cast("string"))
+    return over_tables(spark, sf_dir)("nation").select(F.col("n_name").alias("name"), F.explode(held).alias("key", "value"))
+
+
+def _roundtrip(option: object) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The events written through a filter and read back."""
+        codec, options = normalize_filters(option).parquet()
+        path = scratch(spark, "codec")
+        over_tables(spark, sf_dir)("events").select("event_id", "user_id", "event_type", "value").write.option("compression", codec).options(**options).parquet(path)
+        return spark.read.schema("event_id long, user_id long, event_type string, value double").parquet(path)
+
+    return query
+
+
+for _name in ("none", "gzip", "zstd", "lz4_raw"):
+    _query(f"compress_roundtrip_{_name}", "SELECT event_id, user_id, event_type, value FROM events")(_roundtrip(_name))
+
+
+@_query(
+    "shuffle_bytes",
+    """SELECT n_nationkey, concat(h[1:2], h[5:6], h[9:10], h[3:4], h[7:8], h[11:12], h[13:]) AS shuffled, h AS back
+       FROM (SELECT n_nationkey, hex(substr(rpad(n_name, 7, '.'), 1, 7)) AS h FROM nation)""",
+)
+def shuffle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte shuffle for elements of two bytes and its inverse, by built-in functions."""
+    from tessera.functions.filters import shuffle_hex
+
+    raw = F.encode(F.rpad("n_name", 7, "."), "utf-8")
+    moved = over_tables(spark, sf_dir)("nation").select("n_nationkey", shuffle_hex(raw, 2).alias("s"))
+    return moved.select("n_nationkey", F.hex("s").alias("shuffled"), F.hex(shuffle_hex(F.col("s"), 2, backward=True)).alias("back"))
+
+
+@_query("linear_element", "SELECT vec_id, embedding[10] AS value FROM embeddings")
+def linear_element(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One element of every array by its place."""
+    return over_tables(spark, sf_dir)("embeddings").select("vec_id", arrays.element_column(F.col("embedding"), 9).alias("value"))
+
+
+@_query("tuple_fields", "SELECT s_suppkey AS _1, s_name AS _2, s_acctbal AS _3 FROM supplier")
+def tuple_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples stored as structs with numbered fields, and their fields."""
+    stored = over_tables(spark, sf_dir)("supplier").select(codecs.tuple_struct(F.col("s_suppkey"), F.col("s_name"), F.col("s_acctbal")).alias("t"))
+    return stored.select("t.*")
+
+
+@_query("defined_elements", "SELECT event_id, value FROM events WHERE CASE WHEN event_type = 'click' THEN NULL ELSE value END IS NOT NULL")
+def defined_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that are defined; undefined ones are skipped."""
+    stored = over_tables(spark, sf_dir)("events").select("event_id", F.when(F.col("event_type") != "click", F.col("value")).alias("value"))
+    return stored.where(F.col("value").isNotNull())
+
+
+@_query(
+    "store_roundtrip",
+    "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables saved to a store in nested groups, loaded from it, and joined by their reference."""
+    from .store import Store
+
+    read, path = over_tables(spark, sf_dir), scratch(spark, "store")
+    with Store.open(spark, path, "w", compress="zstd") as store:
+        store.write("people/customer", read("customer"), type_name="Customer")
+        store.write("places/nation", read("nation"))
+    with Store.open(spark, path, "r", parallel_read=True) as store:
+        customers, nations = store.load("people/customer", "places/nation")
+    return refs.resolve(customers, "c_nationkey", nations, "n_nationkey", ["n_name"], "nation").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", F.col("nation.n_name").alias("n_name"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored lines upgraded at read time, with the part that each refers to."""
+    read = over_tables(spark, sf_dir)
+    return refs.resolve(upgrade_struct(spark, sf_dir), "l_partkey", read("part"), "p_partkey", ["p_name", "p_brand", "p_size"], "part")
