@@ -8,7 +8,7 @@ Parquet scan, and an explode of the chunks that are left.  Indices count from 0
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,8 +131,8 @@ def slice_chunks(chunks: DataFrame, grid: Grid, index: Sequence[Index]) -> DataF
     return elements.select(*places, "value")
 
 
-def update_chunks(chunks: DataFrame, grid: Grid, index: Sequence[Index], value: Column) -> DataFrame:
-    """All chunk rows with the elements of a slice set to value, an expression over i0, i1, ... and value."""
+def update_chunks(chunks: DataFrame, grid: Grid, index: Sequence[Index], value: Callable[..., Column]) -> DataFrame:
+    """All chunk rows with the elements of a slice set to value(old, i0, i1, ...), without a shuffle."""
     n, ranges = len(grid.dims), bounds(grid, index)
     hit = F.lit(True)
     for (first, stop, _), c, name in zip(ranges, grid.chunk, grid.names, strict=True):
@@ -144,7 +144,7 @@ def update_chunks(chunks: DataFrame, grid: Grid, index: Sequence[Index], value:
         inside = F.lit(True)
         for a, (first, stop, jump) in zip(at, ranges, strict=True):
             inside = inside & (a >= first) & (a < stop) & ((a - first) % jump == 0)
-        return F.when(inside, value.cast(kind)).otherwise(x)
+        return F.when(inside, value(x, *at).cast(kind)).otherwise(x)
 
     return chunks.withColumn("values", F.when(hit, F.transform("values", step)).otherwise(F.col("values")))
 

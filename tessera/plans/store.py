@@ -15,7 +15,7 @@ from dataclasses import replace
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -402,29 +402,28 @@ class Dataset:
         return found[kept]
 
     def __setitem__(self, index: Any, value: Any) -> None:
-        """Sets a slice to one value or to an expression over i0, i1, ... and value: chunks go to a new version."""
-        self.store.guard()
-        entry = self.entry
-        from pyspark.sql import Column
+        """Sets a slice to one value, to an array, or to what a function of the old value and the indices gives, as columns.
 
-        if isinstance(value, (np.ndarray, list)):
-            index_, new = self._index(index), np.asarray(value)
-            ranges = arrays.bounds(self.grid, index_)
-            shape = tuple(-(-(b - a) // s) for a, b, s in ranges)
-            new = np.broadcast_to(new.reshape([n for n, i in zip(shape, index_, strict=True) if isinstance(i, slice)] if new.ndim else ()), shape) if new.shape != shape else new
+        The chunks go to a new version of the dataset.
+        """
+        self.store.guard()
+        entry, index = self.entry, self._index(index)
+        ranges = arrays.bounds(self.grid, index)
+        shape = tuple(-(-(stop - first) // step) for first, stop, step in ranges)
+        if callable(value):
+            change = value
+        elif isinstance(value, (np.ndarray, list)):
+            new = np.broadcast_to(np.asarray(value), [n for n, i in zip(shape, index, strict=True) if isinstance(i, slice)])
             flat = F.array(*[F.lit(x.item()) for x in new.ravel()])
-            at: Any = F.lit(0)
-            n = len(shape)
-            changed = arrays.explode_chunks(self.read(), self.grid)
-            for k, (a, _, s) in enumerate(ranges):
-                at = at * shape[k] + ((F.col(f"i{k}") - a) / s).cast("int")
-            inside = F.lit(True)
-            for k, (a, b, s) in enumerate(ranges):
-                inside = inside & (F.col(f"i{k}") >= a) & (F.col(f"i{k}") < b) & ((F.col(f"i{k}") - a) % s == 0)
-            changed = changed.withColumn("value", F.when(inside, F.get(flat, at)).otherwise(F.col("value")))
-            frame = arrays.elements_to_chunks(changed, self.grid, [f"i{k}" for k in range(n)])
+
+            def change(_: Column, *at: Column) -> Column:
+                place = F.lit(0)
+                for a, (first, _stop, step), n in zip(at, ranges, shape, strict=True):
+                    place = place * n + ((a - first) / step).cast("int")
+                return F.get(flat, place)
         else:
-            frame = arrays.update_chunks(self.read(), self.grid, self._index(index), value if isinstance(value, Column) else F.lit(value))
+            change = lambda *_: F.lit(value)
+        frame = arrays.update_chunks(self.read(), self.grid, index, change)
         data_dir = f"data/{uuid.uuid4().hex}"
         frame.write.option("compression", entry.codec or "none").parquet(f"{self.store.files.root}/{data_dir}")
         attrs = {k: v for k, v in entry.attrs.items() if k != "fill"}

@@ -204,7 +204,7 @@ def test_slices_and_updates(spark, root):
         d[1, 0] = -1
         np.testing.assert_array_equal(d[:, :], [[1, 43, 5], [-1, 46, 47]])
         assert d.entry.version == 4
-        d[0:2, 0:2] = F.col("value") * 10
+        d[0:2, 0:2] = lambda old, i, j: old * 10
         np.testing.assert_array_equal(f.value("b"), [[10, 430, 5], [-10, 460, 47]])
         plan = d.elements((slice(0, 1), slice(0, 2)))._jdf.queryExecution().toString()
         assert "PushedFilters" in plan and "EqualTo(c0,0)" in plan
