@@ -125,6 +125,13 @@ def slices(texts: Texts, size: int = SLICE) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def parts(texts: Texts, size: int = 8 << 20) -> Iterator[tuple[int, Texts]]:
+    """Pieces of a batch of about size bytes, each with the index of its first text; bounds what a task holds."""
+    for first, last in slices(texts, size):
+        begin, end = int(texts.offsets[first]), int(texts.offsets[last])
+        yield first, Texts(texts.data[begin:end], texts.offsets[first : last + 1] - begin, texts.is_null[first:last])
+
+
 @dataclass
 class Words:
     """Words of a batch in order: byte spans in the batch, the hash of each, and the first word of each text."""

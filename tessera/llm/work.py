@@ -10,13 +10,16 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
+import weakref
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_SETTLED: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,13 +46,27 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     uri = scratch(spark, label)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(uri)
-    return spark.read.schema(schema).parquet(uri)
+    found = spark.read.schema(schema).parquet(uri)
+    _SETTLED[id(found)] = (weakref.ref(found), uri)
+    return found
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes settled tables.  Only for those that no frame still to be computed reads: later tables are written by then."""
+    for df in settled:
+        ref, uri = _SETTLED.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what the second finds unreferenced
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def put_bytes(uri: str, *parts: bytes) -> None:
