@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import mix64, signed, spans_hash, texts_of, window_hashes, words_of, _WORD_POWERS
+from .bytescan import mix64, parts, spans_hash, texts_of, window_hashes, words_of, _WORD_POWERS
 from .components import components
-from .work import release, row_key, settle, table
+from .work import discard, release, row_key, settle, table
 
 COORDINATES = 64
 BLOCK = 192
@@ -78,10 +78,10 @@ def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarra
 
 
 def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[np.ndarray]:
-    texts = texts_of(batch.column(column))
-    words = words_of(texts, lower=True)
-    for i in range(len(texts)):
-        yield shingle_set(words.hashes[words.first[i] : words.first[i + 1]], size)
+    for _, texts in parts(texts_of(batch.column(column))):
+        words = words_of(texts, lower=True)
+        for i in range(len(texts)):
+            yield shingle_set(words.hashes[words.first[i] : words.first[i + 1]], size)
 
 
 def signed_documents(keyed: DataFrame, size: int, coordinates: int) -> DataFrame:
@@ -120,8 +120,9 @@ def clusters(classes: DataFrame, postings: DataFrame, coordinates: int, least: i
     slack = coordinates - least
     join = max(coordinates // 6, 1)
     done = min(join + slack, coordinates)
-    signatures = classes.select("node", "pairs")
-    waiting, kept = settle(postings, "postings"), []
+    waiting, kept, matches = settle(postings, "postings"), [], []
+    signatures = settle(classes.select("node", "pairs").join(waiting.select("node").distinct(), "node", "left_semi"), "posted")
+    release(spark)
     for turn in range(MOST_LEADERS + 1):
         if turn < MOST_LEADERS:
             leaders = waiting.groupBy("pair").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("pair", "leader")
@@ -133,18 +134,23 @@ def clusters(classes: DataFrame, postings: DataFrame, coordinates: int, least: i
         theirs = signatures.select(F.col("node").alias("leader"), F.col("pairs").alias("theirs"))
         counted = tried.join(signatures, "node").join(theirs, "leader").select("node", "leader", F.size(F.array_intersect("pairs", "theirs")).alias("matches")).where(F.col("matches") >= join)
         counted = settle(counted, "matches")
+        matches.append(counted)
         kept.append(counted.select(F.col("node").alias("a"), F.col("leader").alias("b")))
         if turn == MOST_LEADERS:
             break
         finished = counted.where(F.col("matches") >= done).select("node", "leader", F.lit(True).alias("finished"))
-        waiting = settle(meet.where("leader != node").join(finished, ["node", "leader"], "left_anti").select("pair", "node"), "waiting")
+        last, waiting = waiting, settle(meet.where("leader != node").join(finished, ["node", "leader"], "left_anti").select("pair", "node"), "waiting")
+        discard(last)
         release(spark)
         if waiting.groupBy("pair").agg(F.count(F.lit(1)).alias("members")).where("members > 1").isEmpty():
             break
     edges = kept[0]
     for more in kept[1:]:
         edges = edges.unionByName(more)
-    return components(edges)
+    found = settle(components(edges), "clusters")
+    discard(waiting, signatures, *matches)
+    release(spark)
+    return found
 
 
 def _links(nodes: list[int], sides: list[int], sets: list[np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
@@ -193,7 +199,7 @@ def confirmed(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     cut = members.join(sizes, "root").select("root", "node", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = cut.select("root", "node", "shingles", "block", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "block", "node", "shingles")
-    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sides, sets = None, [], [], []
@@ -213,7 +219,7 @@ def confirmed(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         if len(nodes) > 1 and (out := _links(nodes, sides, sets, threshold)):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(link, "a long, b long")
+    return dealt.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), coordinates: int = COORDINATES) -> DataFrame:
@@ -225,12 +231,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     num, den = threshold
     least = least_matches(num / den, coordinates)
     keyed = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
-    base = settle(signed_documents(keyed, size, coordinates), "signatures")
-    grouped = base.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
+    marked = settle(signed_documents(keyed, size, coordinates), "signatures")
+    grouped = marked.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
     classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    base = settle(marked.drop("pairs"), "contents")
+    discard(marked)
     release(spark)
-    cluster = settle(clusters(classes, prefixes(classes, least), coordinates, least), "clusters")
-    release(spark)
+    cluster = clusters(classes, prefixes(classes, least), coordinates, least)
     chosen = cluster.join(classes.select("node", "key"), "node").select("node", "root", "key")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +247,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     texts = keyed.select("key", "text").join(chosen, "key").select("root", "node", "text")
     members = settle(texts.mapInArrow(shingles, "root long, node long, shingles binary"), "sets")
     release(spark)
-    linked = components(settle(confirmed(members, threshold), "links"))
+    links = settle(confirmed(members, threshold), "links")
+    discard(members, cluster)
+    release(spark)
+    linked = components(links)
     ids = classes.select("node", "content", "doc_id").join(linked, "node", "left").select("content", "doc_id", F.coalesce("root", "node").alias("root"))
     named = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_content = settle(ids.join(named, "root").select("content", "component_id"), "components")
+    discard(classes, links)
     release(spark)
     return (
         base.select("key", "doc_id", "n", "content")
