@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import Texts, texts_of
 from .charscan import lowered, ngram_hashes
@@ -178,8 +179,8 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
             names, scores = _SCORERS[key].predict(texts_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*own, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, *added]))
 
 
 def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

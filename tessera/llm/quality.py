@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import Texts, _EXACT_TABLE, _BYTE_POWERS, _IS_SEP, mix64, slices, spans_hash, texts_of, window_hashes, words_of
 from .charscan import lowered, ngram_hashes
@@ -221,13 +222,13 @@ def probabilities(texts: Texts, weights: np.ndarray, slope: float, intercept: fl
     return 1 / (1 + np.exp(-np.clip(slope * _SCALE * score + intercept, -50, 50)))
 
 
-_RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_score double"
+_RULES = [(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("quality_score", T.DoubleType())]
 
 
 def judged(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
     """docs with the counts, base_failed, kept and quality_score of each text; columns of these names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c.split()[0] for c in _RULES.split(", ")]
+    names = [n for n, _ in _RULES]
     own = [c for c in docs.columns if c not in names]
     at = own.index("text")
     slim = docs.select(*own)
@@ -242,8 +243,7 @@ def judged(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
             found = [*(counts[n] for n in names[:5]), failed, ~failed & (p >= keep), p]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*own, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(judge, f"{schema}, {_RULES}")
+    return slim.mapInArrow(judge, T.StructType([*slim.schema.fields, *(T.StructField(n, k) for n, k in _RULES)]))
 
 
 def op7_hashed_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
