@@ -3,7 +3,7 @@
 Every source is a queue of documents.  The queues are dealt to packing partitions so that each partition holds the same
 share of every queue's tokens, cut at the token; a partition then fills its windows one after another.  In each window a
 source earns its share of the window's tokens; it is served, in turn, once it has earned a piece worth cutting
-(``grain`` tokens); what it earned beyond that or got in advance stays on its account for the next window.  The
+(``grain`` tokens); what it has not taken yet, or took in advance, stays on its account for the next window.  The
 accounts a partition opens with are what the cuts at its start left over, so deficits carry over from one partition to
 the next and every window follows the target proportions.
 
@@ -21,6 +21,7 @@ equal or null ids are packed each for themselves; an empty table gives no pieces
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytescan import parts as parts_of
 from .bytescan import texts_of
 from .tokens import encoder, vocabulary
 from .work import release, settle, table
 
 LENGTH = 1024
 PARTITION_TOKENS = 4 << 20
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 GRAIN = 128
 END_ID = 0
 
@@ -50,14 +52,13 @@ def tokenized(docs: DataFrame, spec: bytes, end_id: int = END_ID) -> DataFrame:
         own = encoder(held.value)
         kind = np.uint16 if own.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            ids, counts = own.encode(texts)
-            ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, end_id).astype(kind)
-            sizes = (counts + 1) * ids.itemsize
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts + 1), pa.array(np.full(len(texts), ids.itemsize, np.int32)), raw], ["doc_id", "source", "n", "width", "ids"])
+            for first, texts in parts_of(texts_of(batch.column(1))):
+                ids, counts = own.encode(texts)
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
+                offsets = np.concatenate(([0], np.cumsum(counts + 1))) * ids.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+                names = (batch.column(k).slice(first, len(texts)) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([*names, pa.array(counts + 1), pa.array(np.full(len(texts), ids.itemsize, np.int32)), raw], ["doc_id", "source", "n", "width", "ids"])
 
     found = docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(encode, "doc_id long, source string, n long, width int, ids binary")
     return settle(found.withColumn("row", F.monotonically_increasing_id()), "tokens")
@@ -130,30 +131,34 @@ def _cut_queue(source: str | None, at: np.ndarray, n: np.ndarray, total: int, pa
 
 
 def deficit_round_robin(sources: list[np.ndarray], earned: np.ndarray, length: int = LENGTH, grain: int = GRAIN) -> Iterator[tuple[int, int, int, int]]:
-    """(queue, tokens taken, window, offset) of each service; sources[i] are the document cuts of queue i, by length."""
-    left = np.array([int(s.sum()) for s in sources], dtype=np.int64)
-    account = earned.astype(float).copy()
-    share = left / max(left.sum(), 1)
-    turn, window, total = 0, 0, int(left.sum())
+    """(queue, tokens taken, window, offset) of each service; sources[i] are the document cuts of queue i, by length.
+
+    Every window pays each queue its share of the window's tokens.  Turns come in the order in which queues have earned a
+    piece; a queue takes all that it has earned by then.  Where a window has room left, the queue whose turn is next takes
+    a piece in advance, and its account goes below zero.
+    """
+    left = [int(s.sum()) for s in sources]
+    total = sum(left)
+    pay = [x / max(total, 1) * length for x in left]
+    owed = [float(x) for x in earned]  # what the queue had earned before, less what it has taken
+    turns = [((min(grain, left[q]) - owed[q]) / pay[q], q) for q in range(len(left)) if left[q]]
+    heapq.heapify(turns)
+    window = 0
     while total > 0:
-        open_ = left > 0
-        account += np.where(open_, share / share[open_].sum() * length, 0.0)
-        room, ready = min(length, total), []
-        while room > 0:
-            ready = np.flatnonzero((left > 0) & (account >= np.minimum(grain, left)))
-            if not len(ready):  # nobody has earned a piece: the one who is owed most gets it in advance
-                ready = np.array([np.flatnonzero(left > 0)[np.argmax(account[left > 0])]])
-            first = int(np.searchsorted(ready, turn))
-            for q in np.concatenate((ready[first:], ready[:first])):
-                take = int(min(max(account[q], min(grain, left[q])), left[q], room))
-                yield int(q), take, window, min(length, total) - room
-                account[q] -= take
-                left[q] -= take
-                room -= take
-                turn = int(q) + 1
-                if not room:
-                    break
-        total -= min(length, total)
+        size = min(length, total)
+        room = size
+        while room:
+            _, q = turns[0]
+            take = min(max(int(owed[q] + pay[q] * (window + 1)), min(grain, left[q])), left[q], room)
+            yield q, take, window, size - room
+            owed[q] -= take
+            left[q] -= take
+            room -= take
+            if left[q]:
+                heapq.heapreplace(turns, ((min(grain, left[q]) - owed[q]) / pay[q], q))
+            else:
+                heapq.heappop(turns)
+        total -= size
         window += 1
 
 

@@ -25,6 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytescan import parts as parts_of
 from .bytescan import texts_of
 from .tokens import encoder, vocabulary
 from .work import put_bytes, release, scratch, settle, table
@@ -54,11 +55,11 @@ def write_token_files(docs: DataFrame, spec: bytes, folder: str, separator: int
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size], pa.int64()), listed], ["file", "bytes", "doc_ids"])
 
-        for batch in batches:
-            ids, counts = own.encode(texts_of(batch.column(1)))
+        for first, texts, doc_ids in ((first, texts, batch.column(0)) for batch in batches for first, texts in parts_of(texts_of(batch.column(1)))):
+            ids, counts = own.encode(texts)
             raw = np.insert(ids, np.cumsum(counts), separator).astype("<u2").tobytes()
             parts.append(raw)
-            names.append(batch.column(0).cast(pa.int64()))
+            names.append(doc_ids.slice(first, len(texts)).cast(pa.int64()))
             size += len(raw)
             if size >= file_bytes:
                 yield flush()

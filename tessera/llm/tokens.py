@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from .bytescan import SEPARATORS, Texts, slices
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 SLICE = 1 << 22
 
 _IS_SPACE = np.zeros(256, dtype=bool)
