@@ -34,8 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates: five words, a similarity of 0.8 or more."""
-    return neardup.one_of_each(docs, 5, (80, 100))
+    """Keeps one row of each group of near-duplicates, that with the smallest id: five words, a similarity of 0.8 or more."""
+    return neardup.one_per_group(docs, 5, (80, 100))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,9 +222,10 @@ def confirmed(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return dealt.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), coordinates: int = COORDINATES) -> DataFrame:
-    """(key, doc_id, n_shingles, component_id, kept) of each row of docs; key is row_key(doc_id, text).
+def grouped(docs: DataFrame, size: int, threshold: tuple[int, int], coordinates: int = COORDINATES) -> DataFrame:
+    """(key, doc_id, n_shingles, root, component_id) of each row of docs; key is row_key(doc_id, text).
 
+    root tells components apart, as ids can be null or repeated; it is null where a row has an empty set.
     threshold (num, den): sets are linked when den * |intersection| >= num * |union|.
     """
     spark = docs.sparkSession
@@ -253,23 +254,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     linked = components(links)
     ids = classes.select("node", "content", "doc_id").join(linked, "node", "left").select("content", "doc_id", F.coalesce("root", "node").alias("root"))
     named = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_content = settle(ids.join(named, "root").select("content", "component_id"), "components")
+    by_content = settle(ids.join(named, "root").select("content", "root", "component_id"), "components")
     discard(classes, links)
     release(spark)
     return (
         base.select("key", "doc_id", "n", "content")
         .join(by_content, "content", "left")
-        .select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("key", "doc_id", F.col("n").alias("n_shingles"), "root", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
 
 
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100), coordinates: int = COORDINATES) -> DataFrame:
+    """(key, doc_id, n_shingles, component_id, kept) of each row of docs; kept marks the rows whose id names their component."""
+    return grouped(docs, size, threshold, coordinates).drop("root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the one with the smallest id."""
+    """The rows of docs that are kept by near_duplicates: of each group all that carry its smallest id."""
     found = near_duplicates(docs, size, threshold).where("NOT kept").select("key").distinct()
     return docs.withColumn("__key", row_key("doc_id", "text")).join(found.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)
 
 
+def one_per_group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row of docs of each group of near-duplicates: smallest id first, nulls last, ties by key; of rows with one key any.
+
+    Rows with an empty set are linked with nothing, so they all stay.
+    """
+    rows = grouped(docs, size, threshold).where("root IS NOT NULL").groupBy("root", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    rows = settle(rows, "grouped")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    first = rows.groupBy("root").agg(best.alias("best"), F.sum("times").alias("members")).where("members > 1").select("root", F.col("best.key").alias("first"))
+    marked = rows.join(first, "root").where("key != first OR times > 1").select(F.col("key").alias("__key"), (F.col("key") == F.col("first")).alias("again"))
+    marked = settle(marked, "leaving")
+    discard(rows)
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    stay = keyed.join(marked.select("__key"), "__key", "left_anti").select(*docs.columns)
+    again = marked.where("again").select("__key")
+    if again.isEmpty():
+        return stay
+    return stay.unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns))
+
+
 def op3_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, Jaccard similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), 3, (85, 100)).select("doc_id", "n_shingles", "component_id", "kept")

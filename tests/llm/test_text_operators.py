@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tessera.llm import langid, lexicon, neardup, packing, quality, sharding, substring, tokencount
 from tessera.llm.bytescan import texts_of, window_hashes, words_of
 from tessera.llm.tokens import ChunkEncoder, load_tokenizer, vocabulary
+from tessera.llm.work import settle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE, LOWER = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -184,6 +185,43 @@ def test_inverted_join_matches_brute_force(docs, rows, no_docs, size, threshold,
         assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_of_each_group_passes_both_dedup_stages(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10_000)) for _ in range(n))
+    repeated, one_id, no_id, other_no_id, mixed, short, alone = (prose(n) for n in (60, 60, 60, 60, 60, 8, 60))
+    rows = [(1, repeated, "a")] * 3 + [(1, repeated, "b")]  # repeated rows, one with another source
+    rows += [(2, one_id, "a"), (2, one_id + " edit", "a")]  # near copies under one id
+    rows += [(None, no_id, "a"), (None, no_id, "a"), (None, no_id + " edit", "a")]  # groups without an id
+    rows += [(None, other_no_id, "a")] * 2
+    rows += [(None, mixed, "a"), (5, mixed, "a"), (4, mixed + " edit", "a")]
+    rows += [(1, alone, "a"), (6, short, "a"), (6, short, "a"), (7, "", "a"), (7, "", "a"), (None, None, "a")]  # an id in two groups; texts without words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    near = settle(corpus_pipeline.near_dedup(spark, docs, ""), "near")
+    got = near.collect()
+    assert near.columns == docs.columns
+    ids = {repeated: 1, alone: 1, short: 6, other_no_id: None, mixed + " edit": 4}
+    assert Counter((r["doc_id"], r["text"]) for r in got if r["text"] in ids) == Counter((i, t) for t, i in ids.items())
+    for base, doc in ((one_id, 2), (no_id, None)):
+        assert [(r["doc_id"], r["text"].removesuffix(" edit")) for r in got if (r["text"] or "").startswith(base)] == [(doc, base)]
+    assert Counter((r["doc_id"], r["text"]) for r in got if not r["text"]) == {(7, ""): 2, (None, None): 1}
+    assert len(got) == 10
+    after = corpus_pipeline.substring_dedup(spark, near, "").collect()
+    assert Counter(r["text"] for r in after) == Counter(r["text"] for r in got)
+
+
+def test_one_per_group_matches_brute_force(docs, rows):
+    want = groups(rows, 5, 80, 100)
+    got = neardup.one_per_group(docs, 5, (80, 100)).collect()
+    named = {c for _, n, c in want if n and c is not None}
+    assert Counter(r["doc_id"] for r in got if words(r["text"]) and r["doc_id"] is not None) == Counter(named)
+    assert Counter(r["doc_id"] for r in got if not words(r["text"])) == Counter(d for d, n, _ in want if not n)
+    assert sum(r["doc_id"] is None for r in got) == 1
+
+
 def test_least_matches():
     assert neardup.least_matches(0.85) in range(36, 44) and neardup.least_matches(1.0) == 64
 
