@@ -21,10 +21,8 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letter, or no language that fits with the least score."""
-    model = langid.train(docs)
-    found = langid.identified(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.MIN_SCORE)).select(*docs.columns)
+    """Drops documents without a language: no letter, too low a score, or n-grams that the languages hardly know."""
+    return langid.in_a_language(docs, langid.train(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

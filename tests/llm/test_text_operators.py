@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import langid, lexicon, neardup, packing, quality, sharding, substring, tokencount
 from tessera.llm.bytescan import texts_of, window_hashes, words_of
@@ -435,3 +436,25 @@ def test_language_identification(spark, docs, no_docs):
     nothing = langid.train(no_docs)
     assert {r["lang_pred"] for r in langid.identified(docs, nothing).collect()} == {"und"}
     assert langid.identified(docs, model).columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
+
+
+def test_language_stage_rejects_foreign_scripts_and_gibberish(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    parts = {"en": ["the", "ing", "tion", "er", "wh", "st", "ou"], "fr": ["eau", "ment", "é", "ou", "ai", "le", "que"], "de": ["sch", "ung", "ei", "ü", "der", "ch", "ge"], "es": ["ción", "ado", "ñ", "el", "ar", "os", "ez"]}
+    clean = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(8, 90))), lang) for i, lang in enumerate(list(parts) * 60)]
+    junk = lambda letters, n, size: " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+    scripts = [[chr(x) for x in range(0x3041, 0x3097)], "абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"]
+    foreign = [(1000 + k, junk(s, 60, n), None) for k, (s, n) in enumerate((s, n) for s in scripts for n in (6, 40))]
+    others = [(2000, None, "en"), (2001, "12 34", "en"), (2002, "", None)]
+    docs = spark.createDataFrame(clean + foreign + others, "doc_id long, text string, lang string").withColumn("score", F.lit("own"))
+    model = langid.train(docs)
+    scores = {r["doc_id"]: r["score"] for r in langid.identified(docs, model).collect()}
+    assert all(scores[i] >= langid.MIN_SCORE for i, _, _ in foreign)  # the score alone lets all of them pass
+    stayed = corpus_pipeline.language_id(spark, docs, "")
+    assert stayed.columns == docs.columns and {r["score"] for r in stayed.collect()} == {"own"}
+    assert sorted(r["doc_id"] for r in stayed.collect()) == [i for i, _, _ in clean]
+    assert langid.in_a_language(docs, langid.train(docs.where("false"))).count() == 0
