@@ -323,6 +323,12 @@ class H5File:
         root, in_root = self._u(p + 16, 8), self._u(p + 24, 2)
         offset_bytes = (self._u(h + 128, 2) + 7) // 8
         id_start = {5: 4, 6: 8}[self.data[p + 5]]
+        most, totals = [(node_size - 10) // record], [0]  # records of a node and bytes of a subtree's record count, by level
+        width, below = max(1, (most[0].bit_length() + 7) // 8), most[0]
+        for _ in range(depth):
+            most.append((node_size - 10 - 8 - width - totals[-1]) // (record + 8 + width + totals[-1]))
+            below = (most[-1] + 1) * below + most[-1]
+            totals.append((below.bit_length() + 7) // 8)
 
         def walk(address: int, count: int, level: int) -> Iterator[bytes]:
             q = address + self.base + 6
@@ -330,9 +336,7 @@ class H5File:
                 at = q + k * record + id_start
                 yield self.data[at : at + record - id_start]
             if level:
-                child, room = q + count * record, (node_size - 10) // record
-                width = max(1, (room.bit_length() + 7) // 8)
-                total_width = 0 if level == 1 else 8
+                child, total_width = q + count * record, totals[level - 1]
                 for k in range(count + 1):
                     at = child + k * (8 + width + total_width)
                     yield from walk(self._u(at, 8), self._u(at + 8, width), level - 1)
@@ -352,17 +356,24 @@ class H5File:
             at = root + self.base + offset
             return self.data[at : at + length]
         offset_bytes = (self._u(h + 128, 2) + 7) // 8
-        p = root + self.base + 5 + 8 + offset_bytes
-        begin = 0
-        for row in range(rows):
-            size = start * (1 if row < 2 else 1 << (row - 1))
-            if size > largest:
-                raise FormatError("deep fractal heaps are not known")
-            for _ in range(width):
-                if begin <= offset < begin + size:
-                    at = self._u(p, 8) + self.base + offset - begin
-                    return self.data[at : at + length]
-                begin, p = begin + size, p + 8
+        block, begin = root, 0
+        while block != UNDEFINED:  # down the indirect blocks
+            p = block + self.base
+            if self.data[p : p + 4] != b"FHIB":
+                raise FormatError("a dense group is damaged")
+            p += 5 + 8 + offset_bytes
+            for row in range(rows):
+                size = start * (1 if row < 2 else 1 << (row - 1))
+                if offset < begin + width * size:
+                    break
+                begin, p = begin + width * size, p + 8 * width
+            else:
+                break
+            k = (offset - begin) // size
+            block, begin, rows = self._u(p + 8 * k, 8), begin + k * size, (size // (start * width)).bit_length()
+            if size <= largest and block != UNDEFINED:
+                at = block + self.base + offset - begin
+                return self.data[at : at + length]
         raise FormatError("a heap object is missing")
 
     def _layout(self, p: int) -> tuple:

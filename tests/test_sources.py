@@ -99,6 +99,60 @@ def test_h5_values(offset):
         h.read("nope")
 
 
+def dense_group(b, links):
+    """A dense group: a heap of 64-byte blocks, two a row, direct up to 128 bytes; its index has nodes of 128 bytes."""
+    blank, heap_at = (1 << 64) - 1, 0
+    free, ids = list(links), []
+
+    def direct(begin, size):
+        body = bytearray(b"FHDB" + bytes(13))
+        while free and len(body) + len(free[0]) <= size:
+            ids.append(struct.pack("<IH", begin + len(body), len(free[0])))
+            body += free.pop(0)
+        return b.add(bytes(body) + bytes(size - len(body)))
+
+    def indirect(begin, rows):
+        at, addresses = begin, []
+        for row in range(rows):
+            size = 64 if row < 2 else 64 << (row - 1)
+            for _ in range(2):
+                addresses.append(blank if not free else direct(at, size) if size <= 128 else indirect(at, {256: 2, 512: 3, 1024: 4}[size]))
+                at += size
+        return b.add(b"FHIB" + bytes(1) + struct.pack("<QI", heap_at, begin) + b"".join(struct.pack("<Q", a) for a in addresses) + bytes(4))
+
+    root = indirect(0, 6)
+    assert not free
+    heap = b.add(b"FRHP" + bytes(106) + struct.pack("<HQQHHQH", 2, 64, 128, 32, 1, root, 6) + bytes(4))
+    records = [bytes(4) + b"\0" + i for i in ids]
+
+    def node(own, level):
+        """(address, records in the node, records below and in it)"""
+        if not level:
+            return b.add(b"BTLF" + bytes([0, 5]) + b"".join(own) + bytes(4)), len(own), len(own)
+        children, kept, share = [], [], -(-len(own) // 4)
+        for at in range(0, len(own), share):
+            last = at + share >= len(own)
+            children.append(node(own[at : at + share - (not last)], level - 1))
+            kept += [] if last else [own[at + share - 1]]
+        pointers = b"".join(struct.pack("<QB", a, n) + (total.to_bytes(1, "little") if level > 1 else b"") for a, n, total in children)
+        return b.add(b"BTIN" + bytes([0, 5]) + b"".join(kept) + pointers + bytes(4)), len(kept), len(own)
+
+    top, count, total = node(records, 2)
+    index = b.add(b"BTHD" + bytes([0, 5]) + struct.pack("<IHHBBQHQ", 128, 11, 2, 100, 40, top, count, total) + bytes(4))
+    return b.add(header(message(2, bytes([0, 0]) + struct.pack("<QQ", heap, index))))
+
+
+@pytest.mark.parametrize("offset", [0, 512])
+def test_h5_dense_groups_deeper_than_their_direct_blocks(offset):
+    b = Builder(offset)
+    one = b.dataset("one", INT, (), struct.pack("<q", 5))
+    names = [f"n{k:03d}" for k in range(140)]
+    b.links.append(link("dense", dense_group(b, [bytes([1, 0, len(n)]) + n.encode() + struct.pack("<Q", one) for n in names])))
+    h = H5File(b.done())
+    assert sorted(n for n, _ in h.names() if n.startswith("dense/")) == [f"dense/{n}" for n in names]
+    assert h.read("dense/n000") == 5 and h.read("dense/n139") == 5
+
+
 def test_h5_damage():
     raw = sample()
     with pytest.raises(EOFError):
