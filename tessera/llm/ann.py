@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import release, settle, table
+from .work import settle, table
 
 SHARD_ROWS = 4096
 DEGREE = 40
@@ -216,5 +216,4 @@ def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest embeddings of every embedding whose id is divisible by 50."""
     valid = settle(valid_vectors(table(spark, sf_dir, "embeddings")), "vectors")
     index = build_index(valid, 5)
-    release(spark)
     return search(index, valid.where(F.col("id") % QUERY_EVERY == 0), 5)

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, release, settle
+from .work import discard, settle
 
 MOST_ROUNDS = 60
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node that each node of the edges can reach.
+    """(node, root): the smallest node that each node of the edges can reach, settled.
 
     Alternating rounds of the two star operations: every node links its larger neighbours to the smallest one of them
     (large star), then its smaller neighbours and itself to the smallest (small star).  Edges never grow in number, a hub
     is never gathered (minima are summed before the shuffle, and the joins back can be split), and the number of rounds
     grows with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
     e = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
     before = None
     for _ in range(MOST_ROUNDS):
@@ -35,5 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
     else:
         raise RuntimeError("the components did not settle")
-    release(spark)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    settled = settle(found, "roots")
+    discard(e)
+    return settled

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import Texts, slices, texts_of, words_of
 from .tokens import byte_characters, vocabulary
-from .work import local_file, put_bytes, release, scratch, table
+from .work import local_file, put_bytes, scratch, table
 
 LEXICON_WORDS = 1 << 16
 CACHE_WORDS = 600_000
@@ -378,5 +378,4 @@ def op5_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with a lexicon of their most frequent words."""
     docs, spec = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
     uri = compile_lexicon(docs, spec, scratch(spark, "lexicon"))
-    release(spark)
     return encoded(docs, spec, uri)

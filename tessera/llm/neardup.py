@@ -9,15 +9,20 @@ values.  Pairs that one class alone holds are dropped.  Two sets above the thres
 the prefix of its rarest pairs that any partner with ``T`` matches has to touch; a class that shares fewer than ``T``
 pairs with others is done.  That is prefix filtering; long posting lists are skipped, as they are last in the order.
 
-*Counting collisions.*  In each posting list, the members are held against a leader, the smallest class still
-waiting in that list, and the equal coordinates are counted.  With ``c`` or more matches the member is done in this list: a partner
-with ``T`` matches to it matches the leader in ``c - (K - T)`` coordinates at least, and everything down to that
-count joins the leader's cluster.  What is not done waits for the next leader.  So one row per member and round is made,
-never all pairs, and two sets with ``T`` matches always end in one cluster.
-
-*Confirming.*  Clusters are cut into blocks of classes; blocks meet in pairs, and each meeting computes all
-intersections of full shingle sets as one matrix product.  It returns a spanning forest of the links found, at
-most one row per member.  Connected components of those links are the answer.
+*Counting collisions.*  Clusters grow in rounds.  In each round a posting list whose waiting members lie in several clusters
+names a leader, out of the cluster that has the fewest members there; members of its other clusters are held against it, and
+the equal coordinates are counted.  With ``c`` or more matches a member's cluster joins the leader's.  The leader is done then, and
+so is a member with ``c + K - T`` matches: a partner with ``T`` matches to it matches the leader in ``c`` coordinates at
+least, so it has joined too.  Lists whose members lie in one cluster are done.  What still lies apart in a list after ``ROUNDS``
+leaders is put into one cluster unseen, by an edge per member.  So a round makes at most a row per posting, two sets
+with ``T`` matches always end in one cluster, and a cluster that is too large costs work but changes no result.
+
+*Confirming.*  Clusters are cut into blocks of about ``BLOCK_BYTES`` of shingle sets, and the cluster's first member is sent along with
+each block.  Within a block, tiles of ``TILE`` sets meet: pairs that are linked already are skipped, in large blocks also pairs with
+fewer than ``T`` equal coordinates, and the others' intersections of full sets are one matrix product.  That
+settles a group of near copies in one pass, since all of it is linked to what is sent along.  Only where a cluster of several
+blocks still falls into several components, the sets outside its largest component meet all other blocks.  Each meeting
+returns a spanning forest of the links found, at most one row per member.  Connected components of those links are the answer.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts with fewer
 words than a shingle have their whole word sequence as one shingle; rows with equal ids stay separate rows; null ids
@@ -31,16 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import mix64, parts, spans_hash, texts_of, window_hashes, words_of, _WORD_POWERS
 from .components import components
-from .work import discard, release, row_key, settle, table
+from .work import columns, discard, private, row_key, settle, table
 
 COORDINATES = 64
-BLOCK = 192
-MOST_LEADERS = 12
+TILE = 192
+BLOCK_BYTES = 4 << 20
+ROUNDS = 8
 MISS = 1e-6
 
 
@@ -115,111 +121,166 @@ def prefixes(classes: DataFrame, least: int) -> DataFrame:
 
 
 def clusters(classes: DataFrame, postings: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """(node, root): clusters such that classes with ``least`` matches are always together."""
-    spark = classes.sparkSession
-    slack = coordinates - least
+    """(node, root): clusters such that classes with ``least`` matches are always together; root is the smallest node."""
     join = max(coordinates // 6, 1)
-    done = min(join + slack, coordinates)
-    waiting, kept, matches = settle(postings, "postings"), [], []
+    done = min(join + coordinates - least, coordinates)
+    waiting = settle(postings, "postings")
     signatures = settle(classes.select("node", "pairs").join(waiting.select("node").distinct(), "node", "left_semi"), "posted")
-    release(spark)
-    for turn in range(MOST_LEADERS + 1):
-        if turn < MOST_LEADERS:
-            leaders = waiting.groupBy("pair").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("pair", "leader")
-            meet = waiting.join(leaders, "pair")
-        else:  # what still waits after all those leaders is compared in full
-            other = waiting.select("pair", F.col("node").alias("leader"))
-            meet = waiting.join(other, "pair").where("leader < node")
-        tried = meet.where("leader != node").select("node", "leader").distinct()
-        theirs = signatures.select(F.col("node").alias("leader"), F.col("pairs").alias("theirs"))
-        counted = tried.join(signatures, "node").join(theirs, "leader").select("node", "leader", F.size(F.array_intersect("pairs", "theirs")).alias("matches")).where(F.col("matches") >= join)
-        counted = settle(counted, "matches")
-        matches.append(counted)
-        kept.append(counted.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        if turn == MOST_LEADERS:
+    theirs = signatures.select(F.col("node").alias("leader"), F.col("pairs").alias("theirs"))
+    labels = settle(signatures.select("node", F.col("node").alias("root")), "labels")
+    for turn in range(ROUNDS + 1):
+        held = waiting.join(labels, "node")
+        shares = held.groupBy("pair", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("node"))
+        leaders = shares.groupBy("pair").agg(F.min(F.struct("members", "node", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        meet = settle(held.join(leaders.select("pair", F.col("x.node").alias("leader"), F.col("x.root").alias("leader_root")), "pair"), "meet")
+        if meet.isEmpty():
+            discard(meet)
             break
-        finished = counted.where(F.col("matches") >= done).select("node", "leader", F.lit(True).alias("finished"))
-        last, waiting = waiting, settle(meet.where("leader != node").join(finished, ["node", "leader"], "left_anti").select("pair", "node"), "waiting")
-        discard(last)
-        release(spark)
-        if waiting.groupBy("pair").agg(F.count(F.lit(1)).alias("members")).where("members > 1").isEmpty():
+        apart = meet.where("root != leader_root")
+        counted = None
+        if turn == ROUNDS:  # what lies apart after all those leaders joins unseen
+            edges = apart.select("root", "leader_root").distinct()
+        else:
+            tried = apart.select("node", "root", "leader", "leader_root").distinct()
+            matches = F.size(F.array_intersect("pairs", "theirs"))
+            counted = settle(tried.join(signatures, "node").join(theirs, "leader").select("node", "root", "leader", "leader_root", matches.alias("matches")).where(F.col("matches") >= join), "matches")
+            edges = counted.select("root", "leader_root")
+        joined = components(edges, "root", "leader_root")
+        merged = labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("into")), "root", "left").select("node", F.coalesce("into", "root").alias("root"))
+        last, labels = labels, settle(merged, "labels")
+        discard(last, joined)
+        if counted is None:
+            discard(meet)
             break
-    edges = kept[0]
-    for more in kept[1:]:
-        edges = edges.unionByName(more)
-    found = settle(components(edges), "clusters")
-    discard(waiting, signatures, *matches)
-    release(spark)
+        finished = counted.where(F.col("matches") >= done).select("node", "leader")
+        last, waiting = waiting, settle(meet.where("leader != node").join(finished, ["node", "leader"], "left_anti").select("pair", "node"), "waiting")
+        discard(last, meet, counted)
+    several = labels.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("root")
+    found = settle(labels.join(several, "root", "left_semi").select("node", "root"), "clusters")
+    discard(waiting, signatures, labels)
     return found
 
 
-def _links(nodes: list[int], sides: list[int], sets: list[np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among one block, or between its two sides."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    often = np.bincount(inverse, minlength=len(ids)) > 1
-    inverse, owner = (np.cumsum(often) - 1)[inverse[often[inverse]]], owner[often[inverse]]
-    common = np.zeros((len(sets), len(sets)))
-    tile, total = 4096, int(often.sum())
-    order = np.argsort(inverse, kind="stable")
-    inverse, owner = inverse[order], owner[order]
-    cuts = np.searchsorted(inverse, np.arange(0, total + tile, tile))
-    for t, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        part = np.zeros((len(sets), tile), dtype=np.float32)
-        part[owner[low:high], inverse[low:high] - t * tile] = 1
-        common += part @ part.T
-    common = np.rint(common).astype(np.int64)
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of the sorted sets on the left with those on the right, by matrix products."""
+    every = [np.concatenate(x) for x in (left, right)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    shared = np.intersect1d(*every)
+    sides = []
+    for values, of in zip(every, owner, strict=True):
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        hit = shared[at] == values if len(shared) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], of[hit][order]))
+    out = np.zeros((len(left), len(right)))
+    for first in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - first)
+        marks = []
+        for (at, of), n in zip(sides, out.shape, strict=True):
+            low, high = np.searchsorted(at, (first, first + width))
+            mark = np.zeros((n, width), dtype=np.float32)
+            mark[of[low:high], at[low:high] - first] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _links(nodes: list[int], sides: list[int], groups: list[int], sets: list[np.ndarray], threshold: tuple[int, int], least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one block, or between its two sides; equal groups are linked already."""
     num, den = threshold
-    linked = den * common >= num * (sizes[:, None] + sizes[None, :] - common)
-    first = np.array(sides) == min(sides)
-    if not first.all():
-        linked &= first[:, None] != first[None, :]
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    label = np.unique(np.array(groups), return_inverse=True)[1]
+    signed = np.stack([signature(s).astype(np.uint32) for s in sets]) if len(sets) > TILE else None
+    own, other = np.flatnonzero(np.array(sides) == 0), np.flatnonzero(np.array(sides) == 1)
+    within = not len(other)
     out = []
-    for x, y in np.argwhere(np.triu(linked, 1)):
-        rx, ry = root(int(x)), root(int(y))
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((nodes[x], nodes[y]))
+    for i in range(0, len(own), TILE):
+        a = own[i : i + TILE]
+        for j in range(i if within else 0, len(own if within else other), TILE):
+            b = (own if within else other)[j : j + TILE]
+            open_ = label[a][:, None] != label[b][None, :]
+            if signed is not None and open_.any():
+                matches = np.zeros(open_.shape, dtype=np.uint8)
+                for k in range(signed.shape[1]):
+                    matches += signed[a, k][:, None] == signed[b, k][None, :]
+                open_ &= matches >= least
+            if not open_.any():
+                continue
+            x, y = a[open_.any(axis=1)], b[open_.any(axis=0)]
+            common = _common([sets[k] for k in x], [sets[k] for k in y])
+            linked = den * common >= num * (sizes[x][:, None] + sizes[y][None, :] - common)
+            for row, k in zip(linked, x, strict=True):
+                near = y[row]
+                near = near[label[near] != label[k]]
+                for old, at in zip(*np.unique(label[near], return_index=True), strict=True):
+                    out.append((nodes[k], nodes[near[at]]))
+                    label[label == old] = label[k]
     return out
 
 
-def confirmed(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b): links confirmed on full sets, enough of them to span every component; members has root, node, shingles."""
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.join(sizes, "root").select("root", "node", "shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = cut.select("root", "node", "shingles", "block", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "block", "node", "shingles")
-    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+_DEALT = "root long, i int, j int, side int, grouped long, node long, shingles binary"
+
+
+def _meetings(dealt: DataFrame, threshold: tuple[int, int], least: int) -> DataFrame:
+    """(a, b): the links found where rows of one (root, i, j) meet."""
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sides, sets = None, [], [], []
-        out: list[tuple[int, int]] = []
+        now, held, seen = None, [], set()
+        empty = [pa.array([], pa.int64())] * 2
+
+        def flush() -> pa.RecordBatch:
+            found = _links(*map(list, zip(*held, strict=True)), threshold, least) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)] if found else empty, ["a", "b"])
+
         for batch in batches:
-            for root, i, j, block, node, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for root, i, j, side, group, node, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if (root, i, j) != now:
-                    if len(nodes) > 1:
-                        out += _links(nodes, sides, sets, threshold)
-                    now, nodes, sides, sets = (root, i, j), [], [], []
-                nodes.append(node)
-                sides.append(block)
-                sets.append(np.frombuffer(raw, dtype=np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
-        if len(nodes) > 1 and (out := _links(nodes, sides, sets, threshold)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return dealt.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(link, "a long, b long")
+                    if len(held) > 1:
+                        yield flush()
+                    now, held, seen = (root, i, j), [], set()
+                if node not in seen:  # rows that repeat a row have the same set
+                    seen.add(node)
+                    held.append((node, side, group, np.frombuffer(raw, dtype=np.uint64)))
+        if len(held) > 1:
+            yield flush()
+
+    rows = dealt.select(*(x.split()[0] for x in _DEALT.split(", ")))
+    return rows.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(link, "a long, b long")
+
+
+def _blocks(size: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def confirmed(members: DataFrame, threshold: tuple[int, int], least: int) -> DataFrame:
+    """(node, root): components of the links confirmed on full sets; members has root, node, shingles; settled."""
+    size = F.octet_length("shingles").cast("long")
+    large = settle(members.groupBy("root").agg(F.sum(size).alias("size")).where(F.col("size") > BLOCK_BYTES), "large")
+    cut = members.join(large, "root", "left").withColumn("blocks", F.coalesce(_blocks(F.col("size")), F.lit(1)))
+    first = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(F.col("blocks"))))
+    dealt = cut.select("root", F.explode(first).alias("i"), F.lit(0).alias("side"), F.col("node").alias("grouped"), "node", "shingles").withColumn("j", F.col("i"))
+    links = settle(_meetings(dealt, threshold, least), "links")
+    found = components(links)
+    if not large.isEmpty():
+        rows = members.join(large.select("root"), "root", "left_semi").join(found.select("node", F.col("root").alias("grouped")), "node", "left").select("root", "node", "shingles", F.coalesce("grouped", "node").alias("grouped"))
+        parts = rows.groupBy("root", "grouped").agg(F.sum(size).alias("size"))
+        whole = parts.groupBy("root").agg(F.max(F.struct("size", "grouped")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        left = whole.select("root", F.col("most.grouped").alias("core"), _blocks(F.col("size") - F.col("most.size")).alias("rests"), _blocks(F.col("most.size")).alias("cores"))
+        rest = F.col("grouped") != F.col("core")
+        own = F.when(rest, _block(F.col("rests"))).otherwise(F.col("rests") + _block(F.col("cores")))
+        others = F.sequence(F.lit(0), F.col("rests") + F.when(rest, F.col("cores")).otherwise(0) - 1)
+        cut = rows.join(left, "root").withColumn("own", own).withColumn("o", F.explode(others))
+        dealt = cut.select("root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "grouped", "node", "shingles")
+        more = settle(_meetings(dealt, threshold, least), "links")
+        last, found = found, components(links.unionByName(more))
+        discard(last, more)
+    discard(links, large)
+    return found
 
 
 def grouped(docs: DataFrame, size: int, threshold: tuple[int, int], coordinates: int = COORDINATES) -> DataFrame:
@@ -228,35 +289,36 @@ def grouped(docs: DataFrame, size: int, threshold: tuple[int, int], coordinates:
     root tells components apart, as ids can be null or repeated; it is null where a row has an empty set.
     threshold (num, den): sets are linked when den * |intersection| >= num * |union|.
     """
-    spark = docs.sparkSession
     num, den = threshold
     least = least_matches(num / den, coordinates)
     keyed = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
     marked = settle(signed_documents(keyed, size, coordinates), "signatures")
-    grouped = marked.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
-    classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    alike = marked.where("n > 0").groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
+    classes = settle(alike.select("content", "x.doc_id", "x.key", "n", "pairs", F.monotonically_increasing_id().alias("node")), "classes")
     base = settle(marked.drop("pairs"), "contents")
     discard(marked)
-    release(spark)
     cluster = clusters(classes, prefixes(classes, least), coordinates, least)
-    chosen = cluster.join(classes.select("node", "key"), "node").select("node", "root", "key")
+    chosen = cluster.join(classes.select("node", "doc_id", "key"), "node").select("node", "root", F.col("doc_id").alias("id"), "key")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            fresh = []
+            for node in batch.column(1).to_pylist():  # of repeated rows, one of each task goes on
+                fresh.append(node not in seen)
+                seen.add(node)
+            batch = batch.filter(pa.array(fresh))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in _sets(batch, 2, size)], pa.binary())], ["root", "node", "shingles"])
 
-    texts = keyed.select("key", "text").join(chosen, "key").select("root", "node", "text")
+    same = (keyed["key"] == chosen["key"]) & keyed["doc_id"].eqNullSafe(chosen["id"])
+    texts = keyed.join(chosen, same).select("root", "node", "text")
     members = settle(texts.mapInArrow(shingles, "root long, node long, shingles binary"), "sets")
-    release(spark)
-    links = settle(confirmed(members, threshold), "links")
+    linked = confirmed(members, threshold, least)
     discard(members, cluster)
-    release(spark)
-    linked = components(links)
     ids = classes.select("node", "content", "doc_id").join(linked, "node", "left").select("content", "doc_id", F.coalesce("root", "node").alias("root"))
     named = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_content = settle(ids.join(named, "root").select("content", "root", "component_id"), "components")
-    discard(classes, links)
-    release(spark)
+    discard(classes, linked)
     return (
         base.select("key", "doc_id", "n", "content")
         .join(by_content, "content", "left")
@@ -269,30 +331,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     return grouped(docs, size, threshold, coordinates).drop("root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs that are kept by near_duplicates: of each group all that carry its smallest id."""
-    found = near_duplicates(docs, size, threshold).where("NOT kept").select("key").distinct()
-    return docs.withColumn("__key", row_key("doc_id", "text")).join(found.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)
-
-
 def one_per_group(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row of docs of each group of near-duplicates: smallest id first, nulls last, ties by key; of rows with one key any.
 
     Rows with an empty set are linked with nothing, so they all stay.
     """
-    rows = grouped(docs, size, threshold).where("root IS NOT NULL").groupBy("root", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
-    rows = settle(rows, "grouped")
+    found = grouped(docs, size, threshold).where("root IS NOT NULL").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    rows = settle(found, "grouped")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    first = rows.groupBy("root").agg(best.alias("best"), F.sum("times").alias("members")).where("members > 1").select("root", F.col("best.key").alias("first"))
-    marked = rows.join(first, "root").where("key != first OR times > 1").select(F.col("key").alias("__key"), (F.col("key") == F.col("first")).alias("again"))
+    first = rows.groupBy("root").agg(best.alias("best"), F.sum("times").alias("members")).where("members > 1").select("root", "best")
+    is_first = (F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    key, held, again = private("key", docs), private("id", docs), private("again", docs)
+    marked = rows.join(first, "root").where(~is_first | (F.col("times") > 1)).select(F.col("key").alias(key), F.col("doc_id").alias(held), is_first.alias(again))
     marked = settle(marked, "leaving")
     discard(rows)
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    stay = keyed.join(marked.select("__key"), "__key", "left_anti").select(*docs.columns)
-    again = marked.where("again").select("__key")
-    if again.isEmpty():
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    same = (keyed[key] == marked[key]) & keyed["doc_id"].eqNullSafe(marked[held])
+    stay = keyed.join(marked, same, "left_anti").select(*columns(docs))
+    twice = marked.where(again)
+    if twice.isEmpty():
         return stay
-    return stay.unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns))
+    same = (keyed[key] == twice[key]) & keyed["doc_id"].eqNullSafe(twice[held])
+    copies = keyed.join(twice, same, "left_semi").dropDuplicates([key, "doc_id"])
+    return stay.unionByName(copies.select(*columns(docs)))
 
 
 def op3_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:

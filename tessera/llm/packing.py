@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .bytescan import parts as parts_of
 from .bytescan import texts_of
 from .tokens import encoder, vocabulary
-from .work import release, settle, table
+from .work import settle, table
 
 LENGTH = 1024
 PARTITION_TOKENS = 4 << 20
@@ -190,7 +190,6 @@ def _pack(group: pd.DataFrame, length: int, grain: int) -> pd.DataFrame:
 def pack(docs: DataFrame, spec: bytes, length: int = LENGTH, grain: int = GRAIN, targets: dict[str, float] | None = None, end_id: int = END_ID, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
     """A row per piece: doc_id, source, start, length, ids (bytes), ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = tokenized(docs, spec, end_id)
-    release(docs.sparkSession)
     all_tokens = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, round(all_tokens / partition_tokens))
     totals = None

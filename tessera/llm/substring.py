@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import Words, mix64, parts as parts_of, signed, texts_of, window_hashes, words_of
-from .work import discard, release, row_key, settle, table
+from .work import discard, row_key, settle, table
 
 WINDOW = 35
 FLUSH_ROWS = 200_000
@@ -193,16 +193,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.where("text IS NOT NULL").select(row_key("doc_id", "text").alias("key"), "text")
     seeds = seed_rows(keyed, window)
     first = settle(seeds.join(_repeated(seeds.select("seed"), "seed"), "seed", "left_semi"), "seeds")
-    release(spark)
     sides = first.select("key", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("hash")), F.struct(F.lit(1).alias("side"), F.col("right").alias("hash")))).alias("x")).where("x.hash != 0").select("key", "place", "x.side", "x.hash")
     second = sides.join(_repeated(sides, "side", "hash"), ["side", "hash"], "left_semi")
     places = settle(second.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("seeds")), "doubled")
     discard(first)
-    release(spark)
     windows = window_rows(keyed.join(places, "key").select("key", "text", "seeds"), window)
     found = settle(repeated_places(windows).groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places")), "repeated")
     discard(places)
-    release(spark)
     return found
 
 

@@ -2,15 +2,13 @@
 
 Intermediate tables are cut off their lineage by writing them as Parquet below the folder in ``spark.checkpoint.dir``,
 which the driver and all executors share, so a lost executor costs at most the tasks that it held.  Only where that
-setting is missing (tests, a laptop) a temporary folder takes its place.
+setting is missing in a local session (tests, a laptop) a temporary folder takes its place; a cluster without it raises.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import weakref
 
@@ -23,12 +21,14 @@ _SETTLED: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one where a local session leaves it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:  # with its scheme, as a path without one means the cluster's default store
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
         whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return (whole if "://" in whole else whole.replace("file:/", "file:///", 1)).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _FALLBACK:
         _FALLBACK[key] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -40,12 +40,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a statement as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends here."""
+    """Writes df as Parquet in the shared folder and reads it back: the lineage and its shuffle files end here."""
     spark = df.sparkSession
     uri = scratch(spark, label)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(uri)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(uri)
+    finally:
+        spark.conf.set(_CLEAN, before)
     found = spark.read.schema(schema).parquet(uri)
     _SETTLED[id(found)] = (weakref.ref(found), uri)
     return found
@@ -61,14 +70,6 @@ def discard(*settled: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
-    for _ in range(2):  # the first round frees what the second finds unreferenced
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def put_bytes(uri: str, *parts: bytes) -> None:
     """Writes one object whole: under another name first, then renamed, so that no reader sees half of it."""
     store, path = fs.FileSystem.from_uri(uri)
@@ -103,5 +104,19 @@ def row_key(*names: str) -> Column:
     return F.xxhash64(*names)
 
 
+def private(label: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case of theirs."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"tessera_{label}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

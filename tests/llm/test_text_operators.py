@@ -172,17 +172,15 @@ def groups(rows, size, num, den):
 
 @pytest.mark.parametrize("size, threshold", [(3, (85, 100)), (5, (80, 100))])
 def test_inverted_join_matches_brute_force(docs, rows, no_docs, size, threshold, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "MOST_LEADERS", 2)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(neardup, "TILE", 3)
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
     got = neardup.near_duplicates(docs, size, threshold).collect()
     want = groups(rows, size, *threshold)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(want)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert sum(not r["kept"] for r in got) > 15
     if size == 5:
-        kept = neardup.one_of_each(docs, size, threshold)
-        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _, c in want if d == c)
-        assert kept.columns == docs.columns
         assert neardup.near_duplicates(no_docs).count() == 0
 
 
@@ -223,6 +221,39 @@ def test_one_per_group_matches_brute_force(docs, rows):
     assert sum(r["doc_id"] is None for r in got) == 1
 
 
+@pytest.mark.parametrize("edits", [1, 4])
+def test_edges_grow_in_proportion(spark, edits, monkeypatch):
+    """Groups of near copies, above the threshold (1 edit of 200 words) and below it (4): no more edges than postings and rows."""
+    import random
+
+    made = []
+    real = neardup.components
+
+    def counted(edges, *names):
+        made.append(edges.count())
+        return real(edges, *names)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    most = []
+    for n in (150, 300, 600):
+        rng = random.Random(8)
+        base = [f"word{k}" for k in range(200)]
+        texts = []
+        for _ in range(n):
+            words_ = list(base)
+            for at in rng.sample(range(200), edits):
+                words_[at] = f"edit{rng.randrange(10**9)}"
+            texts.append(" ".join(words_))
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        made.clear()
+        got = neardup.near_duplicates(frame, 5, (80, 100)).collect()
+        want = groups(list(enumerate(texts)), 5, 80, 100) if n == 150 else None
+        assert want is None or Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(want)
+        assert len({r["component_id"] for r in got}) in ((1,) if edits == 1 else range(n - n // 50, n + 1))
+        most.append(max(made) / n)
+    assert max(most) <= 40 and most[2] <= 1.5 * most[0]
+
+
 def test_least_matches():
     assert neardup.least_matches(0.85) in range(36, 44) and neardup.least_matches(1.0) == 64
 
