@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import langid, neardup, packing, quality, substring
 from tessera.llm.tokens import vocabulary
-from tessera.llm.work import release, settle, table
+from tessera.llm.work import settle, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -54,5 +54,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark)
     return docs
