@@ -1,13 +1,14 @@
 """BPE encoding and decoding with a minimal acyclic transducer of frequent words.
 
-*Lexicon.*  The corpus is counted word by word, and the most frequent words are compiled into a minimal acyclic
+*Lexicon.*  The corpus is counted word by word, and the most frequent words (to 1/16 of a count's power of two) are compiled into a minimal acyclic
 automaton: words enter in byte order, and states with equal futures are merged as soon as no later word can change
 them, so common endings are stored once.  Every arc carries the number of words that an accepted path skips; the sum along
 a word's path is the word's rank, and the rank indexes its ids.  The automaton is a few flat integer arrays in one file, which
 workers map into memory, so all workers of a machine share one copy.
 
 *Encoding.*  The distinct words of a batch walk the automaton together, one byte of all of them per step.  Words
-that it does not accept are normalised, cut by the vocabulary's pattern and merged exactly by rank, again together.
+that it does not accept are normalised, cut by the vocabulary's pattern and merged exactly by rank: short pieces together,
+pieces of more than ``LONG_PIECE`` bytes one by one with a heap of pairs, in O(n log n).
 Both ways give the ids of the vocabulary's own library; the lexicon decides about speed only.
 
 *Decoding.*  A vocabulary without a decoder joins its tokens by one space.
@@ -20,6 +21,7 @@ rows; further columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
@@ -35,9 +37,12 @@ from pyspark.sql import functions as F
 
 from .bytescan import Texts, slices, texts_of, words_of
 from .tokens import byte_characters, vocabulary
-from .work import local_file, put_bytes, scratch, table
+from .work import discard, local_file, put_bytes, scratch, settle, table
 
 LEXICON_WORDS = 1 << 16
+#: Pieces of more bytes are merged one by one with a heap of pairs; shorter ones together, in groups of about MERGE_CELLS bytes.
+LONG_PIECE = 64
+MERGE_CELLS = 1 << 18
 CACHE_WORDS = 600_000
 COUNT_WORDS = 400_000
 SLICE = 1 << 22
@@ -67,6 +72,7 @@ class WordVocabulary:
         table_ = byte_characters()
         self.inner = np.array([self.vocab[c] for c in table_], dtype=np.int64)
         self.final = np.array([self.vocab[c + self.end] for c in table_], dtype=np.int64)
+        self._pairs: dict[int, tuple[int, int]] | None = None
 
     def pieces(self, word: str) -> list[bytes | int]:
         """What of a word goes to the merges, as bytes, and the ids of specials in between."""
@@ -85,11 +91,18 @@ class WordVocabulary:
         return [m.encode() for m in self.pattern.findall(text)]
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word: all words merge their lowest-ranked pair at once, round after round."""
+        """The ids of each word: short words of like lengths merge their lowest-ranked pairs together, round after round."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for first in range(0, len(order), 4096):
-            part = order[first : first + 4096]
+        while order and len(words[order[-1]]) > LONG_PIECE:
+            k = order.pop()
+            out[k] = self._merge_long(words[k])
+        last = 0
+        while last < len(order):
+            first, last = last, min(last + max(MERGE_CELLS // max(len(words[order[last]]), 1), 1), len(order))
+            while last - first > 1 and len(words[order[last - 1]]) > 2 * len(words[order[first]]) + 8:
+                last = first + (last - first) // 2
+            part = order[first:last]
             lengths = np.array([len(words[k]) for k in part], dtype=np.int64)
             width = int(lengths.max())
             raw = np.zeros((len(part), width), dtype=np.uint8)
@@ -120,6 +133,31 @@ class WordVocabulary:
                 out[k] = row[:n]
         return out
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word, in O(n log n): a heap of pairs by rank and place, over a linked list of symbols."""
+        raw = np.frombuffer(word, dtype=np.uint8)
+        ids = self.inner[raw].tolist()
+        ids[-1] = int(self.final[raw[-1]])
+        if self._pairs is None:
+            self._pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        pairs, n = self._pairs, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], k, ids[k], ids[k + 1], found[1]) for k in range(n - 1) if (found := pairs.get(ids[k] << 32 | ids[k + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, left, right, into = heapq.heappop(heap)
+            other = after[k] if ids[k] == left else n
+            if other >= n or ids[other] != right:  # one side has merged elsewhere since
+                continue
+            ids[k], ids[other] = into, -1
+            after[k] = after[other]
+            if after[k] < n:
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b < n and (found := pairs.get(ids[a] << 32 | ids[b])):
+                    heapq.heappush(heap, (found[0], a, ids[a], ids[b], found[1]))
+        return np.array([i for i in ids if i >= 0], dtype=np.int64)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The exact ids of words without ASCII white space."""
         cut = [self.pieces(w) for w in words]
@@ -293,11 +331,34 @@ def _distinct_words(texts: Texts) -> Iterator[tuple[pa.Array, np.ndarray, np.nda
         yield coded.dictionary, np.asarray(coded.indices), words.first
 
 
+def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
+    """The ``words`` most frequent words.  The driver gets those and a row per group of counts.
+
+    Counts are grouped to 1/16 of their power of two, so there are at most about 1,000 groups, whatever the corpus.  The groups
+    tell the least count that enough words reach; words above its group are taken, and any words of that group fill what is left.
+    """
+    counted = settle(word_counts(docs), "word-counts")
+    power = F.floor(F.log2("times"))
+    group = (power * 16 + F.floor(F.col("times") * F.lit(16) / F.pow(F.lit(2.0), power)) - 16).cast("int")
+    graded = counted.withColumn("grade", group)
+    sizes = sorted(((r["grade"], r["n"]) for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    taken, least = 0, None
+    for grade, n in sizes:
+        if taken + n > words:
+            least = grade
+            break
+        taken += n
+    found = [r["word"] for r in (graded if least is None else graded.where(F.col("grade") > least)).select("word").collect()]
+    if least is not None and words > taken:
+        found += [r["word"] for r in graded.where(F.col("grade") == least).select("word").limit(words - taken).collect()]
+    discard(counted)
+    return found
+
+
 def compile_lexicon(docs: DataFrame, spec: bytes, folder: str, words: int = LEXICON_WORDS) -> str:
     """Compiles the ``words`` most frequent words of docs and returns the file's URI.  The driver holds those words alone."""
-    rows = word_counts(docs).orderBy(F.desc("times"), "word").limit(words).collect()
     vocab = WordVocabulary(spec)
-    chosen = sorted((r["word"] for r in rows), key=lambda w: w.encode())
+    chosen = sorted(frequent_words(docs, words), key=lambda w: w.encode())
     uri = f"{folder}/lexicon.bin"
     put_bytes(uri, Transducer.compile([w.encode() for w in chosen], vocab.encode_words(chosen)).dumps())
     return uri

@@ -362,6 +362,31 @@ def test_lexicon_round_trip(spark, docs, rows, no_docs, tmp_path, size):
     assert lexicon.encoded(no_docs, LOWER, uri).count() == 0
 
 
+def test_long_words_merge_as_in_the_library():
+    import random
+    import resource
+    import time
+
+    rng = random.Random(9)
+    runs = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (64, 65, 700, 20_000)] + ["aa" * 3000, "the" * 400, "é日" * 90, "!" * 2000, "ab" * 37 + "…"]
+    listed = [*runs, *("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 30))) for _ in range(4000))]
+    vocab, tok = lexicon.WordVocabulary(LOWER), load_tokenizer(LOWER)
+    held, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+    got = vocab.encode_words(listed)
+    assert time.monotonic() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - held < 1_000_000
+    assert got == [tok.encode(w, add_special_tokens=False).ids for w in listed]
+
+
+def test_frequent_words(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(40) for _ in range(41 - k) if k % 4 == i)) for i in range(4)]
+    docs = spark.createDataFrame([*rows, (9, None)], "doc_id long, text string")
+    for n in (0, 1, 7, 40, 90):
+        got = lexicon.frequent_words(docs, n)
+        assert len(got) == len(set(got)) == min(n, 40)
+        least = min((41 - int(w[1:]) for w in got), default=99)
+        assert all(f"w{k}" in got for k in range(40) if 41 - k > least * 17 / 16)
+
+
 def test_word_counts(docs, rows):
     got = {r["word"]: r["times"] for r in lexicon.word_counts(docs).collect()}
     assert got == Counter(w for r in rows for w in words(r[1]))
