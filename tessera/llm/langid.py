@@ -16,44 +16,46 @@ best score is at least about 1/L, whatever the text is.  A text fits its languag
 (``LONGEST`` - 1 and ``LONGEST`` characters) occur in landmarks at all.  How many are enough is learned per language: ``SLACK``
 times the share that all but ``OUTLIERS`` of its training texts reach, where no text counts as its own landmark.
 
-The training sample is bounded by ``SAMPLE`` rows per language (those with the smallest hashes of their ids).
+The training sample is bounded: ``SAMPLE`` rows per language, ``TRAIN_ROWS`` of all, those with the smallest hashes of their ids
+and one of each id; ``LANGUAGES`` languages, those with most rows.  There is a landmark of each language at least.  The model
+is bounded by ``CELLS``: where languages are many, the kernel is taken within the n-grams with the smallest hashes.
 
-Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned; null
+Defined results: ``und`` with score 0 where the text is null or has no letter (Unicode category L; number forms such as
+``½`` and ``Ⅷ`` are none), or where nothing could be learned; null
 languages are not learned from; a null id is never held out and never learned from; rows with equal ids are predicted each
 for themselves; an empty table gives no rows; further columns do not matter.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytescan import Texts, texts_of
+from .bytescan import Texts, mix64, texts_of
 from .charscan import lowered, ngram_hashes
-from .work import table
+from .work import smallest_hashes, table
 
 LONGEST = 4
 BITS = 22
 SAMPLE = 400
+TRAIN_ROWS = 12_000
+LANGUAGES = 1200
+CELLS = 1 << 24
 LANDMARKS = 120
 RIDGE = 1e-3
 UNKNOWN = "und"
 BATCH = 64
-MOST_LANGUAGES = 256
 MIN_SCORE = 0.25
 SLACK = 1 / 3
 OUTLIERS = 0.05
 #: n-grams that every text is taken to know, so that a few characters are no evidence against it.
 PRIOR = 8
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -96,6 +98,12 @@ def long_grams(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(np.concatenate(x or [np.zeros(0, np.uint32)]), return_counts=True) for x in found]
 
 
+def _among(columns: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The places in columns of those of the sorted values own that it holds."""
+    at = np.minimum(np.searchsorted(columns, own), len(columns) - 1)
+    return at[columns[at] == own]
+
+
 def known_share(known: np.ndarray, total: np.ndarray) -> np.ndarray:
     return (known + PRIOR) / (total + PRIOR)
 
@@ -104,7 +112,7 @@ def least_known(longer: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, set
     """Per language the share of known longer n-grams that a text needs; landmarks are held against the others only."""
     holders = np.zeros(len(columns), dtype=np.int64)
     for i in chosen:
-        holders[np.searchsorted(columns, sets[i])] += 1
+        holders[_among(columns, sets[i])] += 1
     own, shares = set(chosen), np.ones(len(longer))
     for i, (grams, times) in enumerate(longer):
         at = np.minimum(np.searchsorted(columns, grams), len(columns) - 1)
@@ -120,19 +128,19 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     turns = np.zeros(len(langs), dtype=np.int64)
     for k in range(len(labels)):
         turns[of == k] = np.arange((of == k).sum())
-    chosen = [i for i in np.lexsort((of, turns)) if len(sets[i])][:landmarks]
-    columns = np.unique(np.concatenate([sets[i] for i in chosen])) if chosen else np.zeros(0, np.uint32)
-    if not chosen or len(labels) < 1:
+    chosen = [i for i in np.lexsort((of, turns)) if len(sets[i])][: max(landmarks, len(labels))]
+    if not chosen:
         return {"hashes": b"", "matrix": b"", "languages": []}
+    columns = np.unique(np.concatenate([sets[i] for i in chosen]))
+    if len(columns) > CELLS // max(len(labels), len(chosen) // 8):
+        columns = np.sort(columns[np.argsort(mix64(columns.astype(np.uint64)), kind="stable")[: CELLS // max(len(labels), len(chosen) // 8)]])
     mark = np.zeros((len(chosen), len(columns)), dtype=np.float32)
     for row, i in enumerate(chosen):
-        mark[row, np.searchsorted(columns, sets[i])] = 1
-    mark /= np.sqrt(mark.sum(axis=1, keepdims=True))
+        mark[row, _among(columns, sets[i])] = 1
+    mark /= np.sqrt(np.maximum(mark.sum(axis=1, keepdims=True), 1))
     kernel = np.zeros((len(sets), len(chosen)))
     for i, own in enumerate(sets):
-        at = np.searchsorted(columns, own)
-        at = at[(at < len(columns))]
-        at = at[np.isin(columns[at], own, assume_unique=True)]
+        at = _among(columns, own)
         if len(at):
             kernel[i] = mark[:, at].sum(axis=1) / np.sqrt(len(at))
     inner = kernel[chosen]
@@ -147,12 +155,14 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     return {"hashes": columns.astype("<u4").tobytes(), "matrix": (mark.T @ (root @ solved[:-1])).astype("<f4").tobytes(), "bias": solved[-1].tolist(), "languages": labels, "least": least_known(longer, of, sets, chosen, columns) if longer else []}
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, sample: int = SAMPLE, rows: int = TRAIN_ROWS) -> dict:
     """The model from (doc_id, text, lang), without the rows that are held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).orderBy("rank", "lang").limit(MOST_LANGUAGES * sample).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(ids), ["doc_id", "lang"])
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    spoken = known.select("lang").distinct().limit(LANGUAGES).count()
+    ids = smallest_hashes(known.select("lang", "doc_id"), "doc_id", max(1, min(sample, rows // max(spoken, 1))), "lang", LANGUAGES)
+    # one row of each id: of rows that share it, that whose text has the smallest hash
+    found = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    rows_ = found.select("doc_id", "lang", F.col("x.text").alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +179,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
         model = fit(sets, [x[1] for x in found], longer=longer) if found else {"hashes": b"", "matrix": b"", "languages": []}
         yield pa.RecordBatch.from_arrays([pa.array([model["hashes"]], pa.binary()), pa.array([model["matrix"]], pa.binary()), pa.array([model.get("bias", [])], pa.list_(pa.float64())), pa.array([model["languages"]], pa.list_(pa.string())), pa.array([model.get("least", [])], pa.list_(pa.float64()))], ["hashes", "matrix", "bias", "languages", "least"])
 
-    found = rows.select("doc_id", "lang", "text").mapInArrow(grams, "doc_id long, lang string, grams binary, longer binary, times binary").repartition(1).mapInArrow(learn, "hashes binary, matrix binary, bias array<double>, languages array<string>, least array<double>").first()
+    found = rows_.mapInArrow(grams, "doc_id long, lang string, grams binary, longer binary, times binary").repartition(1).mapInArrow(learn, "hashes binary, matrix binary, bias array<double>, languages array<string>, least array<double>").first()
     return found.asDict() if found else {"hashes": b"", "matrix": b"", "bias": [], "languages": [], "least": []}
 
 
@@ -209,7 +219,7 @@ class Scorer:
             margins = (found @ self.matrix) / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
             best = margins.argmax(axis=1)
             for i in range(first, last):
-                if not texts.is_null[i] and _LETTER.search(texts.text(i)):
+                if not texts.is_null[i] and any(c.isalpha() for c in texts.text(i)):
                     names[i] = self.languages[best[i - first]]
                     scores[i] = min(1.0, max(0.0, (1 + margins[i - first, best[i - first]]) / 2))
         return names, scores
