@@ -2,7 +2,7 @@
 
 *Model.*  Features are the relative frequencies of a text's lower-cased words and word pairs, hashed to ``2**BITS``
 places, and of its character 4-grams, hashed likewise.  Logistic regression is trained on labelled rows with both
-classes weighted alike, on a sample bounded by ``LABELLED`` rows (those with the smallest hashes of their ids).  A
+classes weighted alike, on a sample bounded by ``LABELLED`` rows (one of each id, those with the smallest hashes of their ids).  A
 fifth of the sample is left out of the training and calibrates the scores: a logistic curve turns them into
 probabilities at the true class shares.
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .bytescan import Texts, _EXACT_TABLE, _BYTE_POWERS, _IS_SEP, mix64, slices, spans_hash, texts_of, window_hashes, words_of
 from .charscan import lowered, ngram_hashes
-from .work import table
+from .work import smallest_hashes, table
 
 BITS = 18
 NGRAM = 4
@@ -178,8 +178,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     """The model, trained in one task on at most ``rows`` labelled documents."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    valid = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"), F.lit(0).alias("all"))
+    ids = smallest_hashes(valid, "doc_id", rows, "all", 1).select("doc_id")
+    chosen = valid.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # one row of each id: of rows that share it, that whose text has the smallest hash
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    labelled = found.select("doc_id", F.col("x.text").alias("text"), "quality")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,6 +250,22 @@ def judged(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
     return slim.mapInArrow(judge, T.StructType([*slim.schema.fields, *(T.StructField(n, k) for n, k in _RULES)]))
 
 
+def good_rows(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that ``judged`` would keep, as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.frombuffer(held.value["weights"], dtype="<f4")
+        for batch in batches:
+            texts = texts_of(batch.column(at))
+            counts = base_counts(texts)
+            failed = base_failed(counts["n_words"], counts["n_repeat_words"])
+            yield batch.filter(pa.array(~failed & (probabilities(texts, weights, held.value["slope"], held.value["intercept"]) >= keep)))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def op7_hashed_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents; the model is trained on the labels table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
