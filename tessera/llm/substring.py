@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import Words, mix64, parts as parts_of, signed, texts_of, window_hashes, words_of
-from .work import discard, row_key, settle, table
+from .work import columns, discard, private, row_key, settle, table
 
 WINDOW = 35
 FLUSH_ROWS = 200_000
@@ -236,10 +236,10 @@ def without_words(data: np.ndarray, words: Words, first: int, last: int, begin:
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with ``places``: the first words of the repeated windows of each document, null where there are none."""
-    found = repeated_windows(docs, window)
-    names = docs.columns
-    return docs.withColumn("__key", row_key("doc_id", "text")).join(found.withColumnRenamed("key", "__key").withColumnRenamed("places", "__places"), "__key", "left").select(*names, F.col("__places"))
+    """docs with one more column: the first words of the repeated windows of each document, null where there are none."""
+    key, places = private("key", docs), private("places", docs)
+    found = repeated_windows(docs, window).select(F.col("key").alias(key), F.col("places").alias(places))
+    return docs.withColumn(key, row_key("doc_id", "text")).join(found, key, "left").select(*columns(docs), F.col(places))
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -144,7 +144,8 @@ def test_pipeline_stages(spark, tmp_path):
     rows += [(100, rows[3][1], "en", "s0", 0), (101, rows[4][1] + " edit", "fr", "s0", 0), (102, "1234 5678", "en", "s1", 0), (103, None, "en", "s1", 0), (104, "spam $$$ win " * 40, "en", "s1", 0)]
     passage = prose("en", 60)
     rows += [(105, f"{prose('en', 60)}\n{passage}", "en", "s2", 0), (106, f"{passage}\n{prose('en', 60)}", "en", None, 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    own = ["score", "Kept", "n_words", "lang_pred", "tessera_key", "__places", "key", "again", "id", "row", "part"]  # names that the stages use themselves
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(k).alias(c) for k, c in enumerate(own)))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(104, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {}
@@ -152,7 +153,8 @@ def test_pipeline_stages(spark, tmp_path):
         docs = settle(stage(spark, docs, str(tmp_path)), name)
         kept[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
         if name != "packing":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *own]
+            assert docs.select(*own).distinct().collect() == [tuple(range(len(own)))]
         if name == "substring_dedup":
             texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     whole = set(range(40)) | {105, 106}

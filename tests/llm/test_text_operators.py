@@ -494,6 +494,38 @@ def test_language_identification(spark, docs, no_docs):
     assert langid.identified(docs, model).columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
 
 
+def test_und_without_letters_and_fits_bounded_in_rows(spark, monkeypatch):
+    rows = [(i, ["the house with", "le chien avec"][i % 2] + f" {'abcdefgh'[i % 8]}", ["en", "fr"][i % 2]) for i in range(60)]
+    rows += [(100, "½ ② 12", "en"), (101, "Ⅷ ٣ _ --", "fr"), (102, "½ ª", "en")]
+    rows += [(200, f"the house number {k}", "en") for k in range(3000)]  # one id on many rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    real = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda sets, langs, **more: (_ for _ in ()).throw(AssertionError(len(sets))) if len(sets) > 70 else real(sets, langs, **more))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs, langid.train(docs)).where("doc_id < 200").collect()}
+    assert got[100] == got[101] == "und" and got[102] != "und"
+    labels = spark.createDataFrame([(200, 1)] * 50 + [(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", lambda rows, y: (_ for _ in ()).throw(AssertionError(len(rows))) if len(rows) > 61 else (np.zeros(2 * quality._PLACES), 1.0, float(len(rows))))
+    assert quality.train(docs, labels)["intercept"] == 61
+    assert quality.train(docs, labels, rows=20)["intercept"] == 20
+
+
+def test_many_languages(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzéèüößñçåø", 5)) for _ in range(300)]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i % 300]) for _ in range(4)) for _ in range(25)), f"l{i % 300}") for i in range(3600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, rows=3000)
+    assert len(model["languages"]) == 300 and len(model["matrix"]) <= 4 * langid.CELLS
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs.where("doc_id < 600"), model).collect()}
+    assert sum(got[i] == f"l{i % 300}" for i in got) > 0.8 * len(got)
+    monkeypatch.setattr(langid, "CELLS", 300 * 2000)
+    texts = texts_of(pa.array([r[1] for r in rows[:900]]))
+    small = langid.fit(langid.gram_sets(texts), [r[2] for r in rows[:900]], longer=langid.long_grams(texts))
+    assert len(small["matrix"]) <= 4 * 300 * 2000 and len(small["languages"]) == 300
+
+
 def test_language_stage_rejects_foreign_scripts_and_gibberish(spark):
     import random
 
