@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import langid, neardup, packing, quality, substring
 from tessera.llm.tokens import vocabulary
@@ -28,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rule or that the model, trained on ``labels``, finds bad."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, model).where("kept").select(*docs.columns)
+    return quality.good_rows(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out every word that a repeated window of 35 words covers; all rows stay, and n_chars follows the text."""
     found = substring.remove_repeats(docs, substring.WINDOW)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else found
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return found.withColumn("n_chars", F.length("text").cast(kind)) if isinstance(kind, T.IntegralType) else found
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
