@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,13 @@ def get_bytes(uri: str) -> bytes:
         return source.read()
 
 
+def mapped(uri: str) -> pa.Buffer:
+    """A file's bytes: mapped into memory where the store is a local one, else read."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path) as source:
+        return source.read_buffer()
+
+
 def local_file(uri: str) -> tuple[str, bool]:
     """A path that can be memory-mapped: the file itself, or a copy where the store is not a local one (true then)."""
     store, path = fs.FileSystem.from_uri(uri)
