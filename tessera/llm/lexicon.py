@@ -26,7 +26,6 @@ import json
 import mmap
 import os
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from .bytescan import Texts, slices, texts_of, words_of
 from .tokens import byte_characters, vocabulary
@@ -61,6 +62,8 @@ class WordVocabulary:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
+        self.split = Split(Regex(pre[0]["pattern"]["Regex"]), "removed", invert=True)
+        self.normalizer = Tokenizer.from_str(spec.decode()).normalizer
         self.specials = {x["content"]: x["id"] for x in found["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.tokens: list[str] = [""] * (1 + max(max(self.vocab.values()), *self.specials.values()))
@@ -87,8 +90,10 @@ class WordVocabulary:
         return out + self._plain(word[at:])
 
     def _plain(self, text: str) -> list[bytes]:
-        text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-        return [m.encode() for m in self.pattern.findall(text)]
+        if text.isascii():
+            return [m.encode() for m in self.pattern.findall(text.lower())]
+        # beyond ASCII the library's own tables tell what is a letter, since those of other modules have another version
+        return [m.encode() for m, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word: short words of like lengths merge their lowest-ranked pairs together, round after round."""
