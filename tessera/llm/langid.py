@@ -158,8 +158,7 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
 def train(docs: DataFrame, sample: int = SAMPLE, rows: int = TRAIN_ROWS) -> dict:
     """The model from (doc_id, text, lang), without the rows that are held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    spoken = known.select("lang").distinct().limit(LANGUAGES).count()
-    ids = smallest_hashes(known.select("lang", "doc_id"), "doc_id", max(1, min(sample, rows // max(spoken, 1))), "lang", LANGUAGES)
+    ids = smallest_hashes(known.select("lang", "doc_id"), "doc_id", sample, rows, "lang", LANGUAGES)
     # one row of each id: of rows that share it, that whose text has the smallest hash
     found = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
     rows_ = found.select("doc_id", "lang", F.col("x.text").alias("text"))

@@ -178,8 +178,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     """The model, trained in one task on at most ``rows`` labelled documents."""
-    valid = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"), F.lit(0).alias("all"))
-    ids = smallest_hashes(valid, "doc_id", rows, "all", 1).select("doc_id")
+    valid = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    ids = smallest_hashes(valid, "doc_id", rows, rows)
     chosen = valid.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # one row of each id: of rows that share it, that whose text has the smallest hash
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))

@@ -109,6 +109,7 @@ def document_lengths(files: DataFrame, separator: int = SEPARATOR, block_tokens:
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents: written as flat files, found again by their separators alone."""
     files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), scratch(spark, "token-files"))
-    counted = document_lengths(files.select("file", "bytes"))
-    named = files.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
-    return counted.join(named.withColumn("ordinal", F.col("ordinal").cast("long")), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    counted = document_lengths(files.select("file", "bytes")).withColumn("counted", F.lit(True))
+    named = files.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id")).withColumn("ordinal", F.col("ordinal").cast("long")).withColumn("named", F.lit(True))
+    both = F.when(F.col("counted") & F.col("named"), F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("the separators and the ids disagree in "), "file")).cast("long"))
+    return counted.join(named, ["file", "ordinal"], "full").select("doc_id", both.alias("n_tokens"), "file", "ordinal", "start")

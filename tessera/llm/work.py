@@ -112,16 +112,23 @@ def row_key(*names: str) -> Column:
     return F.xxhash64(*names)
 
 
-def smallest_hashes(rows: DataFrame, key: str, n: int, by: str, most: int) -> DataFrame:
-    """(by, key): of each value of ``by`` the n distinct keys with the smallest hashes; of the ``most`` values with most keys.
+def smallest_hashes(rows: DataFrame, key: str, n: int, total: int, by: str | None = None, most: int = 1) -> DataFrame:
+    """(by, key): of each value of ``by`` the distinct keys with the smallest hashes, n at most and total / values at most.
 
-    Estimated numbers of distinct keys give a bound on the hashes that leaves about 4 n keys of each value, so no task
-    ranks more, however common a value is; n of them are missing with a chance below 1e-100.
+    Estimated numbers of distinct keys give a bound on the hashes that leaves about four times as many keys of each value,
+    so no task ranks more, however common a value is; some are missing with a chance below 1e-100.  Only the ``most`` values
+    with most keys count; the driver holds a row for each.  Without ``by`` all rows are one group.
     """
     place = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
-    sizes = rows.groupBy(by).agg(F.approx_count_distinct(key).alias("d")).orderBy(F.desc("d"), by).limit(most)
-    bounds = F.broadcast(sizes.select(F.col(by).alias("of"), (F.lit(4.0 * n + 100) / F.col("d")).alias("bound")))
-    near = rows.join(bounds, F.col(by) == F.col("of")).where(place <= F.col("bound")).select(by, key).distinct()
+    estimate = F.approx_count_distinct(key).alias("d")
+    if by is None:
+        bound = (4.0 * n + 100) / max(rows.agg(estimate).first()["d"], 1)
+        near = rows.where(place <= F.lit(bound)).select(key).distinct()
+        return near.orderBy(F.xxhash64(key), key).limit(min(n, total))
+    sizes = rows.groupBy(by).agg(estimate).orderBy(F.desc("d"), by).limit(most).collect()
+    n = max(1, min(n, total // max(len(sizes), 1)))
+    bounds = rows.sparkSession.createDataFrame([(r[by], (4.0 * n + 100) / r["d"]) for r in sizes], f"of {rows.schema[by].dataType.simpleString()}, bound double")
+    near = rows.join(F.broadcast(bounds), F.col(by) == F.col("of")).where(place <= F.col("bound")).select(by, key).distinct()
     order = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(by, key)
 

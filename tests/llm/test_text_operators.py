@@ -105,6 +105,15 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, ids, monkeypatch):
     assert got == want
 
 
+def test_separators_that_disagree_with_the_ids_raise(spark, docs, monkeypatch):
+    real = tokencount.document_lengths
+    monkeypatch.setattr(tokencount, "table", lambda *_: docs)
+    for change in (lambda df: df.where("ordinal > 0"), lambda df: df.unionByName(df.withColumn("ordinal", F.col("ordinal") + 10_000))):
+        monkeypatch.setattr(tokencount, "document_lengths", lambda files, change=change: change(real(files)))
+        with pytest.raises(Exception, match="disagree"):
+            tokencount.op1_separator_scan(spark, "").collect()
+
+
 # 2
 
 
