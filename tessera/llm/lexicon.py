@@ -49,6 +49,9 @@ COUNT_WORDS = 400_000
 SLICE = 1 << 22
 
 
+_NEVER = np.iinfo(np.int32).max
+
+
 class WordVocabulary:
     """The parts of a vocabulary file with word ends: normaliser, pattern, merges and specials."""
 
@@ -115,29 +118,40 @@ class WordVocabulary:
             raw[mask] = np.frombuffer(b"".join(words[k] for k in part), dtype=np.uint8)
             ids = self.inner[raw]
             ids[np.arange(len(part)), lengths - 1] = self.final[raw[np.arange(len(part)), lengths - 1]]
-            live = np.arange(len(part))
-            never = np.int64(1) << 40
-            while len(live) and ids.shape[1] > 1:
-                now, n = ids[live], lengths[live]
-                pair = now[:, :-1] << 32 | now[:, 1:]
-                at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-                rank = np.where((self.keys[at] == pair) & (np.arange(1, now.shape[1])[None, :] < n[:, None]), self.ranks[at], never)
-                best = rank.argmin(axis=1)
-                rows = np.arange(len(live))
-                go = rank[rows, best] < never
-                live, now, n, at, best = live[go], now[go], n[go], at[go], best[go]
+            # rank[i, k] is that of the pair (k, k + 1) of word i; a merge renews the two pairs that it touches and moves up the rest
+            rank = np.full((len(part), max(width - 1, 1)), _NEVER, dtype=np.int32)
+            row, col = np.nonzero(mask[:, 1:])
+            rank[row, col] = self._pair(ids[row, col], ids[row, col + 1])[0]
+            live, column = np.arange(len(part)), np.arange(width)
+            while len(live):
+                best = rank[live].argmin(axis=1)
+                go = rank[live, best] < _NEVER
+                live, best = live[go], best[go]
                 if not len(live):
                     break
+                now, ranks, n = ids[live], rank[live], lengths[live] - 1
                 rows = np.arange(len(live))
-                shifted = np.concatenate((now[:, 1:], np.zeros((len(live), 1), np.int64)), axis=1)
-                now = np.where(np.arange(now.shape[1])[None, :] > best[:, None], shifted, now)
-                now[rows, best] = self.merged[at[rows, best]]
-                ids[live] = now
-                lengths[live] = n - 1
+                merged = self._pair(now[rows, best], now[rows, best + 1])[1]
+                after = column[None, :-1] > best[:, None]
+                now[:, :-1][after] = now[:, 1:][after]
+                after = after[:, :-1]
+                ranks[:, :-1][after] = ranks[:, 1:][after]
+                now[rows, best] = merged
+                ranks[rows, n - 1] = _NEVER
+                left, right = np.flatnonzero(best > 0), np.flatnonzero(best + 1 < n)
+                ranks[left, best[left] - 1] = self._pair(now[left, best[left] - 1], merged[left])[0]
+                ranks[right, best[right]] = self._pair(merged[right], now[right, best[right] + 1])[0]
+                ids[live], rank[live], lengths[live] = now, ranks, n
             for k, row, n in zip(part, ids, lengths, strict=True):
                 out[k] = row[:n]
         return out
 
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair (a, b), _NEVER where it does not merge, and what it merges into."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NEVER), self.merged[at]
+
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The ids of one long word, in O(n log n): a heap of pairs by rank and place, over a linked list of symbols."""
         raw = np.frombuffer(word, dtype=np.uint8)
@@ -374,7 +388,9 @@ class LexiconEncoder:
 
     def __init__(self, spec: bytes, uri: str):
         self.vocab, self.lexicon = WordVocabulary(spec), Transducer.map(uri)
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.digits = [b"%d " % i for i in range(len(self.vocab.tokens))]
+        self.spelled = [t.encode() + b" " for t in self.vocab.tokens]
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
@@ -382,13 +398,17 @@ class LexiconEncoder:
         ranks = self.lexicon.ranks(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), lengths)
         unseen = [w for w, r in zip(words, ranks, strict=True) if r < 0]
         merged = dict(zip(unseen, self.vocab.encode_words(unseen), strict=True))
-        tokens = self.vocab.tokens
+        digits, spelled = self.digits, self.spelled
         for word, rank in zip(words, ranks.tolist(), strict=True):
             ids = self.lexicon.of(rank) if rank >= 0 else merged[word]
-            self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+            self.known[word] = (len(ids), b"".join([digits[i] for i in ids]), b"".join([spelled[i] for i in ids]))
 
-    def encode(self, texts: Texts) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, ids joined by spaces, tokens joined by spaces) of each text."""
+    def encode(self, texts: Texts) -> Iterator[tuple[int, memoryview, memoryview]]:
+        """(number of ids, ids joined by spaces, tokens joined by spaces) of each text, as UTF-8 bytes.
+
+        Every distinct word of a slice brings its ids and tokens as text that ends with a space; taking them in the order of the
+        words lays whole texts out at once, and each text is cut out without its last space.
+        """
         for distinct, index, first in _distinct_words(texts):
             words = distinct.to_pylist()
             if len(self.known) + len(words) > CACHE_WORDS:
@@ -396,17 +416,18 @@ class LexiconEncoder:
             if missing := [w for w in words if w not in self.known]:
                 self.learn(missing)
             found = [self.known[w] for w in words]
-            counts = np.array([x[0] for x in found], dtype=np.int64)[index]
-            some = counts > 0
-            total = np.concatenate(([0], np.cumsum(counts)))
-            ids, tokens = np.array([x[1] for x in found], dtype=object)[index], np.array([x[2] for x in found], dtype=object)[index]
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                n = int(total[b] - total[a])
-                here = slice(a, b)
-                if some[here].all():
-                    yield n, " ".join(ids[here]), " ".join(tokens[here])
-                else:
-                    yield n, " ".join(ids[here][some[here]]), " ".join(tokens[here][some[here]])
+            total = np.concatenate(([0], np.cumsum(np.array([x[0] for x in found], dtype=np.int64)[index])))[first]
+            laid = [_laid_out([x[k] for x in found], index, first) for k in (1, 2)]
+            for i, n in enumerate(np.diff(total).tolist()):
+                yield n, *(data[at[i] : max(at[i + 1] - 1, at[i])] for data, at in laid)
+
+
+def _laid_out(parts: list[bytes], index: np.ndarray, first: np.ndarray) -> tuple[memoryview, list[int]]:
+    """The parts one after the other in the order of index, and where those of each text begin (and the last end)."""
+    taken = pa.array(parts, pa.large_binary()).take(pa.array(index))
+    _, offsets, data = taken.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), bounds[first].tolist()
 
 
 _ENCODERS: dict[str, LexiconEncoder] = {}
@@ -424,11 +445,11 @@ def encoded(docs: DataFrame, spec: bytes, uri: str, texts: bool = False) -> Data
             n, ids, decoded, own_ids, own_texts = [], [], [], [], []
             for count, a, b in _ENCODERS[uri].encode(texts_of(batch.column(1))):
                 n.append(count)
-                ids.append(hashlib.sha256(a.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b.encode()).hexdigest())
+                ids.append(hashlib.sha256(a).hexdigest())
+                decoded.append(hashlib.sha256(b).hexdigest())
                 if texts:
-                    own_ids.append(list(map(int, a.split())))
-                    own_texts.append(b)
+                    own_ids.append(list(map(int, bytes(a).split())))
+                    own_texts.append(bytes(b).decode())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if texts:
