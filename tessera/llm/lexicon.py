@@ -38,7 +38,7 @@ from tokenizers.pre_tokenizers import Split
 
 from .bytescan import Texts, slices, texts_of, words_of
 from .tokens import byte_characters, vocabulary
-from .work import discard, local_file, put_bytes, scratch, settle, table
+from .work import discard, local_file, put_bytes, scratch, settle, table, without_gc
 
 LEXICON_WORDS = 1 << 16
 #: Pieces of more bytes are merged one by one with a heap of pairs; shorter ones together, in groups of about MERGE_CELLS bytes.
@@ -414,7 +414,8 @@ class LexiconEncoder:
             if len(self.known) + len(words) > CACHE_WORDS:
                 self.known.clear()
             if missing := [w for w in words if w not in self.known]:
-                self.learn(missing)
+                with without_gc():
+                    self.learn(missing)
             found = [self.known[w] for w in words]
             total = np.concatenate(([0], np.cumsum(np.array([x[0] for x in found], dtype=np.int64)[index])))[first]
             laid = [_laid_out([x[k] for x in found], index, first) for k in (1, 2)]

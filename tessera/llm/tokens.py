@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .bytescan import SEPARATORS, Texts, slices
+from .work import without_gc
 
 CACHE_CHUNKS = 600_000
 SLICE = 1 << 22
@@ -83,11 +85,15 @@ class ChunkEncoder:
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(chunks)
         other, merge, table = [], self.tokenizer.model.tokenize, self.bytes
+        space = table[32]
         for k, chunk in enumerate(chunks):
             first, last = chunk[:1], chunk[-1:]
+            if first == " " and chunk[1:].isalpha() and chunk.isascii():  # the most common kind
+                out[k] = [t.id for t in merge(space + chunk[1:])]
+                continue
             word = chunk[first == "\n" : len(chunk) - (last == "." or last == ",")]
             if (word[1:] if first == " " else word).isalpha():
-                word = word.replace(" ", table[32]) if word.isascii() else "".join([table[b] for b in word.encode()])
+                word = word.replace(" ", space) if word.isascii() else "".join([table[b] for b in word.encode()])
                 ids = [t.id for t in merge(word)]
                 out[k] = (self.single["\n"] if first == "\n" else []) + ids + (self.single[last] if last in ".," else [])
             else:
@@ -106,7 +112,7 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         found = self._encode(chunks)
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
         first, last = len(self.known), len(self.known) + len(chunks)
         while last > len(self.starts):
             self.starts, self.lengths = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.lengths, np.zeros_like(self.lengths)))
@@ -116,8 +122,7 @@ class ChunkEncoder:
         self.lengths[first:last] = lengths
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        for k, chunk in enumerate(chunks):
-            self.known[chunk] = first + k
+        self.known.update(zip(chunks, range(first, last), strict=True))
 
     def _slice(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
@@ -129,11 +134,14 @@ class ChunkEncoder:
         if len(self.known) + len(distinct) > CACHE_CHUNKS:
             self._clear()
         if missing := [x for x in distinct if x not in self.known]:
-            self._learn(missing)
+            with without_gc():
+                self._learn(missing)
         place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[np.asarray(coded.indices)]
         lengths = self.lengths[place]
         before = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.repeat(self.starts[place] - before[:-1], lengths) + np.arange(before[-1])]
+        n = len(self.known)
+        pool = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * np.append(self.starts[:n], self.used)), pa.py_buffer(self.ids)])
+        ids = np.frombuffer(pool.take(pa.array(place)).buffers()[2] or b"", np.uint32, int(before[-1]))
         return ids, np.diff(before[np.searchsorted(bounds, edges)])
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:

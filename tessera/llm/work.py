@@ -7,10 +7,13 @@ setting is missing in a local session (tests, a laptop) a temporary folder takes
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -133,6 +136,18 @@ def smallest_hashes(rows: DataFrame, key: str, n: int, total: int, by: str | Non
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(by, key)
 
 
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No rounds of the cycle collector inside: for code that makes many small objects and no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def private(label: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, whatever the case of theirs."""
     taken = {c.lower() for df in frames for c in df.columns}
