@@ -48,15 +48,16 @@ class CodecRegistry:
 
 
 def base62_encode(value: Column, width: int = 11) -> Column:
-    """Non-negative integers as base-62 text of ``width`` digits, the highest first."""
-    digit = lambda k: F.substr(F.lit(BASE62), F.pmod(F.floor(value.cast("decimal(20,0)") / F.lit(62**k).cast("decimal(20,0)")), F.lit(62)).cast("int") + 1, F.lit(1))
+    """Non-negative integers as base-62 text of ``width`` digits, the highest first; eleven hold every 64-bit integer."""
+    if not 1 <= width <= 11:
+        raise ValueError("a 64-bit integer has one to eleven base-62 digits")
+    digit = lambda k: F.substr(F.lit(BASE62), F.pmod(F.call_function("div", value, F.lit(62**k)), F.lit(62)).cast("int") + 1, F.lit(1))
     return F.concat(*[digit(k) for k in reversed(range(width))])
 
 
 def base62_decode(text: Column) -> Column:
     """The integer that a base-62 text stands for."""
-    digits = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
-    value = F.aggregate(digits, F.lit(0).cast("long"), lambda total, c: total * 62 + (F.position(c, F.lit(BASE62)) - 1).cast("long"))
+    value = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda total, c: total * 62 + (F.position(c, F.lit(BASE62)) - 1).cast("long"))
     return F.when(F.length(text) > 0, value)
 
 
@@ -80,16 +81,33 @@ def missing_decode(stored: Column) -> Column:
     return F.when(stored["mask"] == 0, stored["value"])
 
 
+def is_defined(stored: Column) -> Column:
+    """Whether an element of a value-or-missing column holds a value."""
+    return stored["mask"] == 0
+
+
 def dict_to_pairs(value: Column) -> Column:
     """A map as an array of (key, value) pairs, the stored form of dictionaries."""
     return F.map_entries(value)
 
 
 def pairs_to_dict(pairs: Column) -> Column:
-    """Pairs as a map; of equal keys the last wins and null keys are left out, which a map could not hold."""
-    fine = F.filter(pairs, lambda p: p["key"].isNotNull())
-    last = F.filter(fine, lambda p, i: F.size(F.filter(F.slice(fine, i + 2, F.size(fine)), lambda q: q["key"] == p["key"])) == 0)
-    return F.map_from_entries(last)
+    """Pairs as a map; of equal keys the last wins, at its own place, and null keys are left out, which a map could not hold.
+
+    Pairs are sorted by key and compared with their neighbours, so long dictionaries cost n log n.
+    """
+    order = lambda *fields: lambda a, b: _compared(a, b, fields)
+    placed = F.filter(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))), lambda p: p["key"].isNotNull())
+    by_key = F.array_sort(placed, order("key", "at"))
+    last = F.filter(F.zip_with(by_key, F.slice(by_key, F.lit(2), F.greatest(F.size(by_key), F.lit(0))), lambda a, b: F.when(b.isNull() | (a["key"] != b["key"]), a)), lambda p: p.isNotNull())
+    return F.map_from_entries(F.transform(F.array_sort(last, order("at")), lambda p: F.struct(p["key"], p["value"])))
+
+
+def _compared(a: Column, b: Column, fields: tuple[str, ...]) -> Column:
+    found = F.lit(0)
+    for f in reversed(fields):
+        found = F.when(a[f] < b[f], -1).when(a[f] > b[f], 1).otherwise(found)
+    return found
 
 
 def big_integer(value: Column) -> Column:

@@ -149,6 +149,23 @@ def update_chunks(chunks: DataFrame, grid: Grid, index: Sequence[Index], value:
     return chunks.withColumn("values", F.when(hit, F.transform("values", step)).otherwise(F.col("values")))
 
 
+def put_elements(chunks: DataFrame, grid: Grid, elements: DataFrame) -> DataFrame:
+    """All chunk rows with the cells that elements (i0, ..., value) lists set; untouched chunks stay as they are.
+
+    One shuffle of the listed cells and of the cells of the chunks that they fall into.
+    """
+    kind = chunks.schema["values"].dataType.elementType
+    index = [f"i{k}" for k in range(len(grid.dims))]
+    inside = [(F.col(i) >= 0) & (F.col(i) < d) for i, d in zip(index, grid.dims, strict=True)]
+    wrong = F.raise_error(F.concat(F.lit("outside the array: "), F.concat_ws(", ", *[F.col(i).cast("string") for i in index])))
+    checked = elements.select(*[F.when(ok, F.col(i)).otherwise(wrong.cast("long")).cast("int").alias(i) for i, ok in zip(index, inside, strict=True)], F.col("value").cast(kind).alias("value"))
+    hit = checked.select(*[F.floor(F.col(i) / c).cast("int").alias(n) for i, c, n in zip(index, grid.chunk, grid.names, strict=True)]).distinct()
+    old = explode_chunks(chunks.join(hit, grid.names, "left_semi"), grid).withColumn("turn", F.lit(0))
+    both = old.unionByName(checked.withColumn("turn", F.lit(1)))
+    cells = both.groupBy(*index).agg(F.max(F.struct("turn", "value")).alias("x")).select(*index, F.col("x.value").alias("value"))
+    return chunks.join(hit, grid.names, "left_anti").select(*grid.names, "shape", "values").unionByName(elements_to_chunks(cells, grid, index))
+
+
 def filled(chunks: DataFrame, grid: Grid, fill: object = 0) -> DataFrame:
     """All chunks of a preallocated array: those never written hold the fill value."""
     spark = chunks.sparkSession

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 def dedup(df: DataFrame, content: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
     """(objects, references): each distinct content once, under the smallest key that holds it, and key -> ref of every row.
 
-    The grouping sums up before the shuffle; only references travel afterwards, not contents.
+    Contents are told apart by SHA-256 of their JSON form.  They travel once, after rows of one content are summed up; the
+    references are found by digests alone, in a join whose hot side Spark can split.
     """
-    objects = df.groupBy(*content).agg(F.min(key).alias("ref")).select("ref", *content)
-    same = F.lit(True)
-    left, right = df.alias("l"), objects.alias("r")
-    for c in content:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return objects, left.join(right, same).select(F.col(f"l.{key}").alias(key), F.col("r.ref").alias("ref"))
+    hashed = df.select("*", F.sha2(F.to_json(F.struct(*content)), 256).alias("__digest"))
+    objects = hashed.groupBy("__digest").agg(F.min(key).alias("ref"), *[F.first(c).alias(c) for c in content])
+    named = hashed.groupBy("__digest").agg(F.min(key).alias("ref"))
+    return objects.select("ref", *content), hashed.select(key, "__digest").join(named, "__digest").select(key, "ref")
 
 
 def resolve(df: DataFrame, ref: str, objects: DataFrame, key: str, fields: Sequence[str], name: str) -> DataFrame:

@@ -15,7 +15,8 @@ from dataclasses import replace
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ from .catalog import Catalog, Entry, normalize
 #: Fixed value: the name under which a single object is kept.
 SINGLE_OBJECT = "single_stored_object"
 TYPES = "_types"
+#: Cells that a slice may bring to the driver.
+MOST_CELLS = 1 << 26
 MODES = {"r": (False, False, False), "r+": (True, False, False), "a": (True, True, False), "a+": (True, True, False), "w": (True, True, True), "w+": (True, True, True)}
 
 _OPEN: dict[tuple[str, str], Store] = {}
@@ -253,8 +256,12 @@ class Store:
 
     # reading
 
+    def data_path(self, entry: Entry) -> str:
+        """Where a dataset's files are: in the store, or where a link points."""
+        return entry.data_dir if entry.data_dir.startswith("/") or ":/" in entry.data_dir else f"{self.files.root}/{entry.data_dir}"
+
     def frame(self, entry: Entry, *, plain: bool | None = None, typemap: TypeMap | None = None) -> DataFrame:
-        df = self.spark.read.schema(entry.schema).parquet(f"{self.files.root}/{entry.data_dir}")
+        df = self.spark.read.schema(entry.schema).parquet(self.data_path(entry))
         if self.plain if plain is None else plain:
             return df
         if codec := self.codecs.get(entry.type_name):
@@ -274,9 +281,9 @@ class Store:
             return bool(spoken and evolve(self.frame(entry, plain=True), target, self.committed_types(), entry.path)[1])
 
     def value(self, path: str) -> Any:
-        """The Python value of a small dataset."""
+        """The Python value of a small dataset; cells of an array that were never written hold its fill value."""
         entry = self.root.entry(path)
-        df = self.frame(entry)
+        df = self.root.dataset(path).read()
         if entry.space == "null":
             return loaded_value(None, entry.type_name)
         if entry.space == "scalar":
@@ -397,6 +404,8 @@ class Dataset:
         index = self._index(index)
         ranges = arrays.bounds(self.grid, index)
         shape = [-(-(stop - first) // step) for first, stop, step in ranges]
+        if np.prod(shape, dtype=object) > MOST_CELLS:
+            raise StoreError(f"{self.path}: a slice of {tuple(shape)} is more than the driver takes; use elements()")
         found = arrays.to_numpy(self.elements(index), shape).astype(self.entry.type_name)
         kept = tuple(slice(None) if isinstance(i, slice) else 0 for i in index)
         return found[kept]
@@ -407,24 +416,27 @@ class Dataset:
         The chunks go to a new version of the dataset.
         """
         self.store.guard()
-        entry, index = self.entry, self._index(index)
+        index = self._index(index)
         ranges = arrays.bounds(self.grid, index)
         shape = tuple(-(-(stop - first) // step) for first, stop, step in ranges)
-        if callable(value):
-            change = value
-        elif isinstance(value, (np.ndarray, list)):
-            new = np.broadcast_to(np.asarray(value), [n for n, i in zip(shape, index, strict=True) if isinstance(i, slice)])
-            flat = F.array(*[F.lit(x.item()) for x in new.ravel()])
-
-            def change(_: Column, *at: Column) -> Column:
-                place = F.lit(0)
-                for a, (first, _stop, step), n in zip(at, ranges, shape, strict=True):
-                    place = place * n + ((a - first) / step).cast("int")
-                return F.get(flat, place)
-        else:
-            change = lambda *_: F.lit(value)
-        frame = arrays.update_chunks(self.read(), self.grid, index, change)
-        data_dir = f"data/{uuid.uuid4().hex}"
+        if isinstance(value, (np.ndarray, list)):
+            new = np.broadcast_to(np.asarray(value), [n for n, i in zip(shape, index, strict=True) if isinstance(i, slice)]).reshape(shape)
+            steps = {f"i{k}": first + at.ravel() * step for k, (at, (first, _, step)) in enumerate(zip(np.indices(shape), ranges, strict=True))}
+            self.put_elements(self.store.spark.createDataFrame(pd.DataFrame(steps | {"value": new.ravel()})))
+            return
+        change = value if callable(value) else lambda *_: F.lit(value)
+        self._replace(arrays.update_chunks(self.read(), self.grid, index, change))
+
+    def put_elements(self, elements: DataFrame) -> None:
+        """Sets the cells that a frame (i0, i1, ..., value) lists, of any number; of several values of a cell the largest counts.
+
+        Only chunks that a listed cell falls into are taken apart; the others are copied as they are.
+        """
+        self.store.guard()
+        self._replace(arrays.put_elements(self.read(), self.grid, elements))
+
+    def _replace(self, frame: DataFrame) -> None:
+        entry, data_dir = self.entry, f"data/{uuid.uuid4().hex}"
         frame.write.option("compression", entry.codec or "none").parquet(f"{self.store.files.root}/{data_dir}")
         attrs = {k: v for k, v in entry.attrs.items() if k != "fill"}
         self.store.catalog.put(replace(entry, data_dir=data_dir, version=entry.version + 1, attrs=attrs))
@@ -448,14 +460,29 @@ class Dataset:
         lines = [f"dataset {self.path}", f"  type: {entry.type_name or '-'} {signature(entry.schema)}", f"  space: {entry.space}{' ' + str(tuple(entry.dims)) if entry.dims is not None else ''}", f"  layout: parquet, {entry.codec}{', chunks ' + str(tuple(entry.chunk)) if entry.chunk else ''}"]
         return "\n".join([*lines, *(f"  attribute {k}: {v}" for k, v in entry.attrs.items())])
 
+    def check_codec(self) -> None:
+        """Raises where a file of the dataset has another codec than the catalog says."""
+        import pyarrow.parquet as pq
+
+        want = (self.entry.codec or "none").upper().replace("NONE", "UNCOMPRESSED").replace("LZ4_RAW", "LZ4")
+        for store, path in self._files():
+            meta = pq.ParquetFile(path, filesystem=store).metadata
+            found = {meta.row_group(g).column(c).compression for g in range(meta.num_row_groups) for c in range(meta.num_columns)}
+            if found - {want}:
+                raise StoreError(f"{path} is compressed with {', '.join(sorted(found))}, not {want}")
+
     def headers(self) -> list[str]:
         """Parquet footers of the dataset's files as text."""
         import pyarrow.parquet as pq
+
+        return [str(pq.ParquetFile(path, filesystem=store).metadata) for store, path in self._files()]
+
+    def _files(self) -> list[tuple[Any, str]]:
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(f"{self.store.files.root.replace('file:/', 'file:///', 1) if '://' not in self.store.files.root else self.store.files.root}/{self.entry.data_dir}")
-        found = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-        return [str(pq.ParquetFile(p, filesystem=store).metadata) for p in found]
+        place = self.store.data_path(self.entry)
+        store, path = fs.FileSystem.from_uri(place if "://" in place else place.replace("file:/", "file:///", 1))
+        return [(store, f.path) for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
 
 
 class Group:
@@ -528,6 +555,17 @@ class Group:
             return self.entry(name)
         return self.store.write_entry(path, value, **options)
 
+    def link(self, name: str, location: str) -> Entry:
+        """Names Parquet data that lies elsewhere, without copying it; deleting the name leaves the data alone."""
+        self.store.guard()
+        path = self._full(name)
+        if self.store.catalog.get(path):
+            raise StoreError(f"{path} exists already")
+        location = Files(self.store.spark, location).root
+        schema = self.store.spark.read.parquet(location).schema
+        self.store._make_groups(path)
+        return self.store.catalog.put(Entry(path, "dataset", space="frame", schema_json=schema.json(), data_dir=location))
+
     def attach(self, name: str, child: Group) -> None:
         """Gives a group's entries another name as well; data is shared, not copied."""
         made = self.create_group(name)
@@ -585,7 +623,7 @@ class Group:
     def load_all(self, nested: bool = False) -> dict[str, Any]:
         """All datasets as lazy frames: flat ``a/b/c`` keys, or nested dictionaries."""
         if nested:
-            return {e.name: Group(self.store, e.path).load_all(True) if e.kind == "group" else self.store.frame(e) for e in self.store.catalog.children(self.path) if e.path != TYPES}
+            return {e.name: Group(self.store, e.path).load_all(True) if e.kind == "group" else self.store.root.dataset(e.path).read() for e in self.store.catalog.children(self.path) if e.path != TYPES}
         skip = len(self.path) + 1 if self.path else 0
         return {e.path[skip:]: self.store.root.dataset(e.path).read() for e in self.store.catalog.below(self.path) if e.kind == "dataset"}
 
@@ -617,7 +655,7 @@ class Group:
         return "\n".join(out)
 
 
-_FORWARDED = {"keys", "is_empty", "group", "create_group", "write", "attach", "get", "setdefault", "delete", "dataset", "create_dataset", "add_attribute", "attributes", "load_all", "load", "save", "toc", "is_group", "entry"}
+_FORWARDED = {"keys", "is_empty", "group", "create_group", "write", "link", "attach", "get", "setdefault", "delete", "dataset", "create_dataset", "add_attribute", "attributes", "load_all", "load", "save", "toc", "is_group", "entry"}
 
 
 def save(spark: SparkSession, path: str, *pairs: Any, compress: Any = None, **values: Any) -> None:

@@ -66,11 +66,11 @@ def test_filters_on_columns(spark):
 
 
 def test_base62(spark):
-    values = [0, 1, 61, 62, 3843, 3844, 10**9, 62**10 - 1]
-    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", codecs.base62_encode(F.col("v"), 10).alias("t")).withColumn("b", codecs.base62_decode(F.col("t"))).collect()
+    values = [0, 1, 61, 62, 3843, 3844, 10**9, 62**10 - 1, 2**63 - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", codecs.base62_encode(F.col("v")).alias("t")).withColumn("b", codecs.base62_decode(F.col("t"))).collect()
     for r in rows:
         value, text = r["v"], ""
-        for _ in range(10):
+        for _ in range(11):
             text = codecs.BASE62[value % 62] + text
             value //= 62
         assert (r["t"], r["b"]) == (text, r["v"])

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -295,3 +297,45 @@ def test_many_names_and_reopening(spark, root):
             assert f.keys()[-1] == "new"
     finally:
         catalog.HELD_ROWS = held
+
+
+def test_fill_values_survive_every_way_of_loading(spark, tmp_path):
+    with Store.open(spark, f"{tmp_path}/s", "w") as store:
+        made = store.create_dataset("g/a", (4, 3), chunk=(2, 2)).allocate(fill=7.0)
+        assert store.value("g/a").tolist() == [[7.0] * 3] * 4 and len(made.read().collect()) == 4
+        assert store.load_all(nested=True)["g"]["a"].count() == store.load("g")["a"].count() == store.load_all()["g/a"].count() == 4
+        made[1, 0:2] = [1.0, 2.0]
+        made.put_elements(spark.createDataFrame([(3, 2, 9.0), (3, 1, None)], "i0 int, i1 int, value double"))
+        want = np.full((4, 3), 7.0)
+        want[1, 0:2], want[3, 2], want[3, 1] = [1.0, 2.0], 9.0, np.nan
+        assert np.array_equal(store.value("g/a"), want, equal_nan=True)
+        with pytest.raises(Exception, match="outside the array"):
+            made.put_elements(spark.createDataFrame([(4, 0, 1.0)], "i0 int, i1 int, value double"))
+
+
+def test_links_name_data_elsewhere(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/elsewhere")
+    with Store.open(spark, f"{tmp_path}/s", "w") as store:
+        store.link("a/b", f"{tmp_path}/elsewhere")
+        with pytest.raises(StoreError):
+            store.link("a/b", f"{tmp_path}/elsewhere")
+        assert store["a/b"].count() == 5
+    with Store.open(spark, f"{tmp_path}/s", "r+") as store:
+        store.delete("a")
+        store.vacuum()
+    assert spark.read.parquet(f"{tmp_path}/elsewhere").count() == 5
+
+
+def test_codecs_are_checked_and_slices_bounded(spark, tmp_path, monkeypatch):
+    with Store.open(spark, f"{tmp_path}/s", "w", compress="zstd") as store:
+        store.write("x", spark.range(10))
+        store.dataset("x").check_codec()
+        entry = store.entry("x")
+        store.catalog.put(replace(entry, codec="gzip"))
+        with pytest.raises(StoreError, match="ZSTD"):
+            store.dataset("x").check_codec()
+        store.write("m", np.zeros((10, 10)))
+        monkeypatch.setattr("tessera.plans.store.MOST_CELLS", 50)
+        assert store.dataset("m")[0:5, 0:10].shape == (5, 10)
+        with pytest.raises(StoreError, match="elements"):
+            store.dataset("m")[0:6, 0:10]
