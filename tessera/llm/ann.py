@@ -207,7 +207,13 @@ def build_index(valid: DataFrame, k: int, folder: str | None = None, least_rows:
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "file": [uri], "n": pa.array([len(raw)], pa.int64())})
 
     dealt = nodes.join(sizes, "dim").select("dim", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("shards")).cast("int").alias("shard"), "vector", "ids")
-    return settle(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, file string, n long"), "graphs")
+    tasks = _tasks(valid.sparkSession, sizes.agg(F.sum("shards")).first()[0])
+    return settle(dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, file string, n long"), "graphs")
+
+
+def _tasks(spark: SparkSession, groups: int | None) -> int:
+    """Partitions for this many groups of much work and few rows, which Spark would put together for their size."""
+    return max(min(4 * (groups or 0), 1 << 15), int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
 
 
 class Shard:
@@ -265,7 +271,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, folde
     asked = queries.withColumn("q", F.monotonically_increasing_id()).join(sizes, "dim").select("dim", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int").alias("block"), "q", "id", "vector")
     blocks = settle(asked.groupBy("dim", "block").applyInArrow(write, "dim int, block int, queries string, m long"), "query-blocks")
     meetings = settle(index.join(blocks, "dim").select("file", "queries", "m", "dim", "shard", "block"), "meetings")  # a row per shard and block
-    tasks = max(min(2 * meetings.count(), 1 << 15), int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    tasks = _tasks(spark, meetings.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["q", "query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
