@@ -187,8 +187,8 @@ def _pack(group: pd.DataFrame, length: int, grain: int) -> pd.DataFrame:
     return found
 
 
-def pack(docs: DataFrame, spec: bytes, length: int = LENGTH, grain: int = GRAIN, targets: dict[str, float] | None = None, end_id: int = END_ID, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
-    """A row per piece: doc_id, source, start, length, ids (bytes), ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, spec: bytes, length: int = LENGTH, grain: int = GRAIN, targets: dict[str, float] | None = None, end_id: int = END_ID, partition_tokens: int = PARTITION_TOKENS, with_ids: bool = True) -> DataFrame:
+    """A row per piece: doc_id, source, start, length, ids (bytes, null unless asked for), ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = tokenized(docs, spec, end_id)
     all_tokens = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, round(all_tokens / partition_tokens))
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, spec: bytes, length: int = LENGTH, grain: int = GRAIN,
                 if k != last:
                     last, wide = k, np.frombuffer(raws[k].as_py(), np.uint16 if width[k] == 2 else np.uint32).astype("<u4").tobytes()
                 piece = wide[4 * a : 4 * (a + n)]
-                ids.append(piece)
+                ids.append(piece if with_ids else None)
                 crcs.append(zlib.crc32(piece))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(parents)), batch.column(1).take(pa.array(parents)), pa.array(start), pa.array(size), pa.array(ids, pa.binary()), pa.array(crcs, pa.int64()), batch.column(2).take(pa.array(parents)), pa.array(sequence), pa.array(offset)], names)
 
@@ -236,4 +236,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 def op4_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens in the proportions of their sources."""
-    return digest(pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return digest(pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False))

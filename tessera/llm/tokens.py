@@ -16,13 +16,14 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .bytescan import SEPARATORS, Texts, slices
 from .work import without_gc
 
 CACHE_CHUNKS = 600_000
-SLICE = 1 << 22
+SLICE = 1 << 23
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SEPARATORS)] = True
@@ -67,7 +68,7 @@ def byte_characters() -> list[str]:
 
 
 class ChunkEncoder:
-    """Ids of whole texts; keeps the ids of the chunks seen so far, up to CACHE_CHUNKS of them.
+    """Ids of whole texts; keeps the ids of chunks that come again, about CACHE_CHUNKS of them.
 
     A chunk of letters alone, with one space or line feed before it and one full stop or comma after it at most, is
     handed to the merges directly, as the pre-tokeniser would cut it just so; any other goes through the whole library.
@@ -103,26 +104,24 @@ class ChunkEncoder:
         return out
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 12, dtype=np.int64)
-        self.lengths = np.zeros(1 << 12, dtype=np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = self._encode(chunks)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
-        first, last = len(self.known), len(self.known) + len(chunks)
-        while last > len(self.starts):
-            self.starts, self.lengths = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.lengths, np.zeros_like(self.lengths)))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.starts[first:last] = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.lengths[first:last] = lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(chunks, range(first, last), strict=True))
+        self.chunks = pa.array([], pa.string())
+        self.pool = pa.array([], pa.large_binary())  # the ids of each chunk, 32 bits each
+        self.hits = np.zeros(0, dtype=bool)
+
+    def _learn(self, chunks: pa.Array) -> None:
+        with without_gc():
+            found = self._encode(chunks.to_pylist())
+            ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(ends[-1]))
+        ids = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(4 * np.concatenate(([0], ends))), pa.py_buffer(flat)])
+        self.chunks, self.pool = pa.concat_arrays([self.chunks, chunks]), pa.concat_arrays([self.pool, ids])
+        self.hits = np.concatenate((self.hits, np.zeros(len(found), dtype=bool)))
+
+    def _forget(self) -> None:
+        """Keeps the chunks that were met again since the last time; most of the others never will be."""
+        stay = pa.array(np.flatnonzero(self.hits))
+        self.chunks, self.pool = self.chunks.take(stay), self.pool.take(stay)
+        self.hits = np.zeros(len(stay), dtype=bool)
 
     def _slice(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
@@ -130,19 +129,18 @@ class ChunkEncoder:
         bounds = chunks_of(data, edges)
         strings = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = strings.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE_CHUNKS:
-            self._clear()
-        if missing := [x for x in distinct if x not in self.known]:
-            with without_gc():
-                self._learn(missing)
-        place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[np.asarray(coded.indices)]
-        lengths = self.lengths[place]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        n = len(self.known)
-        pool = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * np.append(self.starts[:n], self.used)), pa.py_buffer(self.ids)])
-        ids = np.frombuffer(pool.take(pa.array(place)).buffers()[2] or b"", np.uint32, int(before[-1]))
-        return ids, np.diff(before[np.searchsorted(bounds, edges)])
+        if len(self.chunks) > CACHE_CHUNKS:
+            self._forget()
+        place = pc.index_in(coded.dictionary, value_set=self.chunks).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        self.hits[place[place >= 0]] = True
+        if len(new):
+            place[new] = len(self.chunks) + np.arange(len(new))
+            self._learn(coded.dictionary.take(pa.array(new)))
+        taken = self.pool.take(pa.array(place[np.asarray(coded.indices)]))
+        _, offsets, laid = taken.buffers()
+        before = np.frombuffer(offsets, np.int64, len(taken) + 1) // 4
+        return np.frombuffer(laid or b"", np.uint32, int(before[-1])), np.diff(before[np.searchsorted(bounds, edges)])
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
