@@ -46,7 +46,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens in the proportions of their sources."""
-    return packing.digest(packing.pack(docs, vocabulary(VOCABULARY)))
+    return packing.digest(packing.pack(docs, vocabulary(VOCABULARY), with_ids=False))
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
