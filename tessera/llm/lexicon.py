@@ -27,9 +27,11 @@ import mmap
 import os
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -384,24 +386,44 @@ def compile_lexicon(docs: DataFrame, spec: bytes, folder: str, words: int = LEXI
 
 
 class LexiconEncoder:
-    """Ids and joined tokens of words, by the lexicon or by merging; keeps what it has seen, up to CACHE_WORDS."""
+    """Ids and joined tokens of words, by the lexicon or by merging; keeps words that come again, about CACHE_WORDS of them."""
 
     def __init__(self, spec: bytes, uri: str):
         self.vocab, self.lexicon = WordVocabulary(spec), Transducer.map(uri)
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
-        self.digits = [b"%d " % i for i in range(len(self.vocab.tokens))]
-        self.spelled = [t.encode() + b" " for t in self.vocab.tokens]
-
-    def learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        lengths = np.array([len(r) for r in raw], dtype=np.int64)
-        ranks = self.lexicon.ranks(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), lengths)
-        unseen = [w for w, r in zip(words, ranks, strict=True) if r < 0]
-        merged = dict(zip(unseen, self.vocab.encode_words(unseen), strict=True))
-        digits, spelled = self.digits, self.spelled
-        for word, rank in zip(words, ranks.tolist(), strict=True):
-            ids = self.lexicon.of(rank) if rank >= 0 else merged[word]
-            self.known[word] = (len(ids), b"".join([digits[i] for i in ids]), b"".join([spelled[i] for i in ids]))
+        self.listed = _binaries(np.ascontiguousarray(self.lexicon.ids), 4 * self.lexicon.offsets.astype(np.int64))
+        # what each id is written as, in digits and as its token, with a space after it
+        self.forms = [pa.array(x, pa.large_binary()) for x in ([b"%d " % i for i in range(len(self.vocab.tokens))], [t.encode() + b" " for t in self.vocab.tokens])]
+        self.words = pa.array([], pa.string())
+        self.counts, self.hits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.pools = [pa.array([], pa.large_binary())] * 2
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds distinct words and returns their places: those of the lexicon first, then the merged ones."""
+        _, offsets, data = words.buffers()
+        bounds = np.frombuffer(offsets, np.int32, len(words) + 1).astype(np.int64)
+        ranks = self.lexicon.ranks(np.frombuffer(data or b"", np.uint8), bounds[:-1], np.diff(bounds))
+        seen, unseen = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+        with without_gc():
+            merged = self.vocab.encode_words(words.take(pa.array(unseen)).to_pylist())
+            lengths = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
+            flat = np.fromiter(chain.from_iterable(merged), dtype=np.int32, count=int(lengths.sum()))
+        listed, at = _laid_out(self.listed, ranks[seen])
+        flat, lengths = np.concatenate((np.frombuffer(listed, np.int32, int(at[-1]) // 4), flat)), np.concatenate((np.diff(at) // 4, lengths))
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        for k, form in enumerate(self.forms):
+            text, at = _laid_out(form, flat)
+            self.pools[k] = pa.concat_arrays([self.pools[k], _binaries(text, at[ends])])
+        places = np.empty(len(words), dtype=np.int64)
+        places[np.concatenate((seen, unseen))] = len(self.words) + np.arange(len(words))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(seen)), words.take(pa.array(unseen))])
+        self.counts, self.hits = np.concatenate((self.counts, lengths)), np.concatenate((self.hits, np.zeros(len(words), dtype=bool)))
+        return places
+
+    def _forget(self) -> None:
+        """Keeps the words that were met again since the last time; most of the others never will be."""
+        stay = np.flatnonzero(self.hits)
+        self.words, self.pools = self.words.take(pa.array(stay)), [p.take(pa.array(stay)) for p in self.pools]
+        self.counts, self.hits = self.counts[stay], np.zeros(len(stay), dtype=bool)
 
     def encode(self, texts: Texts) -> Iterator[tuple[int, memoryview, memoryview]]:
         """(number of ids, ids joined by spaces, tokens joined by spaces) of each text, as UTF-8 bytes.
@@ -410,25 +432,28 @@ class LexiconEncoder:
         words lays whole texts out at once, and each text is cut out without its last space.
         """
         for distinct, index, first in _distinct_words(texts):
-            words = distinct.to_pylist()
-            if len(self.known) + len(words) > CACHE_WORDS:
-                self.known.clear()
-            if missing := [w for w in words if w not in self.known]:
-                with without_gc():
-                    self.learn(missing)
-            found = [self.known[w] for w in words]
-            total = np.concatenate(([0], np.cumsum(np.array([x[0] for x in found], dtype=np.int64)[index])))[first]
-            laid = [_laid_out([x[k] for x in found], index, first) for k in (1, 2)]
+            if len(self.words) > CACHE_WORDS:
+                self._forget()
+            place = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.flatnonzero(place < 0)
+            self.hits[place[place >= 0]] = True
+            if len(new):
+                place[new] = self._learn(distinct.take(pa.array(new)))
+            total = np.concatenate(([0], np.cumsum(self.counts[place][index])))[first]
+            laid = [(memoryview(data), at[first].tolist()) for data, at in (_laid_out(pool, place[index]) for pool in self.pools)]
             for i, n in enumerate(np.diff(total).tolist()):
                 yield n, *(data[at[i] : max(at[i + 1] - 1, at[i])] for data, at in laid)
 
 
-def _laid_out(parts: list[bytes], index: np.ndarray, first: np.ndarray) -> tuple[memoryview, list[int]]:
-    """The parts one after the other in the order of index, and where those of each text begin (and the last end)."""
-    taken = pa.array(parts, pa.large_binary()).take(pa.array(index))
+def _binaries(data: object, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(data)])
+
+
+def _laid_out(pool: pa.Array, places: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The parts at these places of the pool one after the other, and where each begins (and the last ends)."""
+    taken = pool.take(pa.array(places))
     _, offsets, data = taken.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-    return memoryview(data if data is not None else b""), bounds[first].tolist()
+    return data if data is not None else pa.py_buffer(b""), np.frombuffer(offsets, np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
 
 
 _ENCODERS: dict[str, LexiconEncoder] = {}
