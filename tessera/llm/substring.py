@@ -13,8 +13,9 @@ length alone are extended to twice that length:
     96 bits of hash, and those that equal a neighbour are the answer.
 
 No level drops a repeated window, so the result is that of comparing all windows with all others.  The first two levels
-count their keys with map-side partial sums, and the occurrences then meet the repeated keys in a semi-join, whose hot
-keys Spark can split.  At the last level a piece of a batch sends a window once however often it holds it.  No group is ever
+count their keys with map-side partial sums, and the occurrences then meet the repeated keys in a join.  Occurrences of a
+key that holds more than one in ``HOT_SHARE`` of them are known to be repeated by a broadcast list of such keys (fewer
+than ``HOT_SHARE``, whatever the input); they are dealt evenly instead of by their key.  At the last level a piece of a batch sends a window once however often it holds it.  No group is ever
 gathered.  A window of ``window`` words is found whole within one document, whatever
 its length (up to 2**30 words); the arrays of one task follow the longest document, not the corpus.
 
@@ -38,6 +39,7 @@ from .work import columns, discard, private, row_key, settle, table
 
 WINDOW = 35
 FLUSH_ROWS = 200_000
+HOT_SHARE = 1024
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -183,8 +185,17 @@ def repeated_places(windows: DataFrame) -> DataFrame:
     return windows.repartition("h1").sortWithinPartitions("h1", "tail").mapInArrow(compare, "key long, place int")
 
 
-def _repeated(rows: DataFrame, *names: str) -> DataFrame:
-    return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*names)
+def _recurring(rows: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose values of names occur twice or more, and the settled table they are found by; rows has key and place."""
+    times = settle(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
+    all_times = times.agg(F.sum("times")).first()[0] or 0
+    hot = times.where(F.col("times") > F.lit(all_times / HOT_SHARE)).select(*names, F.lit(True).alias("hot"))
+    listed = times.select(*(F.col(n).alias(f"listed_{n}") for n in names))
+    marked = rows.join(F.broadcast(hot), [*names], "left").withColumn("dealt", F.when(F.col("hot"), F.xxhash64("key", "place")).otherwise(F.col(names[-1])))
+    same = F.col("dealt") == F.col(f"listed_{names[-1]}")
+    for n in names[:-1]:
+        same = same & (F.col(n) == F.col(f"listed_{n}"))
+    return marked.join(listed, same, "left").where(F.col("hot") | F.col(f"listed_{names[-1]}").isNotNull()).select(*rows.columns), times
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -192,11 +203,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.where("text IS NOT NULL").select(row_key("doc_id", "text").alias("key"), "text")
     seeds = seed_rows(keyed, window)
-    first = settle(seeds.join(_repeated(seeds.select("seed"), "seed"), "seed", "left_semi"), "seeds")
+    again, times = _recurring(seeds, "seed")
+    first = settle(again, "seeds")
+    discard(times)
     sides = first.select("key", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("hash")), F.struct(F.lit(1).alias("side"), F.col("right").alias("hash")))).alias("x")).where("x.hash != 0").select("key", "place", "x.side", "x.hash")
-    second = sides.join(_repeated(sides, "side", "hash"), ["side", "hash"], "left_semi")
-    places = settle(second.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("seeds")), "doubled")
-    discard(first)
+    again, times = _recurring(sides, "side", "hash")
+    places = settle(again.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("seeds")), "doubled")
+    discard(first, times)
     windows = window_rows(keyed.join(places, "key").select("key", "text", "seeds"), window)
     found = settle(repeated_places(windows).groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places")), "repeated")
     discard(places)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -139,6 +140,24 @@ def test_doubling_matches_brute_force(docs, rows, no_docs, window):
         assert substring.removal_digests(no_docs).count() == 0
 
 
+def test_very_common_seeds_and_rare_ones_are_both_found(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(1 << 30)}" for _ in range(n)]
+    passage, texts = fresh(20), []
+    for _ in range(60):
+        copied = fresh(120)
+        texts += [" ".join(copied), " ".join(fresh(4) + copied + fresh(4)), " ".join(fresh(15) + passage + fresh(15))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: words(r["text"]) for r in substring.remove_repeats(docs, 9).collect()}
+    assert got == dict(enumerate(repeats(texts, 9)))
+    seeds = substring.seed_rows(docs.select(F.col("doc_id").alias("key"), "text"), 9)
+    found, times = substring._recurring(seeds, "seed")
+    share = times.agg(F.sum("times")).first()[0] / substring.HOT_SHARE
+    assert 0 < times.where(F.col("times") > share).count() < times.count()
+    many = {r["seed"] for r in seeds.groupBy("seed").count().where("count > 1").collect()}
+    assert Counter(map(tuple, found.collect())) == Counter(tuple(r) for r in seeds.collect() if r["seed"] in many)
+
+
 def test_repeats_are_cut_out_of_texts(docs, rows, no_docs):
     got = substring.remove_repeats(docs)
     assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
