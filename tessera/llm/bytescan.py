@@ -132,6 +132,13 @@ def parts(texts: Texts, size: int = 8 << 20) -> Iterator[tuple[int, Texts]]:
         yield first, Texts(texts.data[begin:end], texts.offsets[first : last + 1] - begin, texts.is_null[first:last])
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Pieces of the batches with about size bytes in a text column, and the texts: what goes out at once is as small."""
+    for batch in batches:
+        for first, texts in parts(texts_of(batch.column(column)), size):
+            yield batch.slice(first, len(texts)), texts
+
+
 @dataclass
 class Words:
     """Words of a batch in order: byte spans in the batch, the hash of each, and the first word of each text."""

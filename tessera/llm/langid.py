@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytescan import Texts, mix64, texts_of
+from .bytescan import Texts, mix64, pieces, texts_of
 from .charscan import lowered, ngram_hashes
 from .work import smallest_hashes, table
 
@@ -243,8 +243,8 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
     slim = docs.select(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = _scorer(held.value).predict(texts_of(batch.column(at)))
+        for batch, texts in pieces(batches, at):
+            names, scores = _scorer(held.value).predict(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*own, "lang_pred", "score"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -257,8 +257,8 @@ def in_a_language(docs: DataFrame, model: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_scorer(held.value).fits(texts_of(batch.column(at)))))
+        for batch, texts in pieces(batches, at):
+            yield batch.filter(pa.array(_scorer(held.value).fits(texts)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytescan import Texts, _EXACT_TABLE, _BYTE_POWERS, _IS_SEP, mix64, slices, spans_hash, texts_of, window_hashes, words_of
+from .bytescan import Texts, _EXACT_TABLE, _BYTE_POWERS, _IS_SEP, mix64, pieces, slices, spans_hash, texts_of, window_hashes, words_of
 from .charscan import lowered, ngram_hashes
 from .work import smallest_hashes, table
 
@@ -239,8 +239,7 @@ def judged(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(held.value["weights"], dtype="<f4")
-        for batch in batches:
-            texts = texts_of(batch.column(at))
+        for batch, texts in pieces(batches, at):
             counts = base_counts(texts)
             failed = base_failed(counts["n_words"], counts["n_repeat_words"])
             p = probabilities(texts, weights, held.value["slope"], held.value["intercept"])
@@ -257,8 +256,7 @@ def good_rows(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(held.value["weights"], dtype="<f4")
-        for batch in batches:
-            texts = texts_of(batch.column(at))
+        for batch, texts in pieces(batches, at):
             counts = base_counts(texts)
             failed = base_failed(counts["n_words"], counts["n_repeat_words"])
             yield batch.filter(pa.array(~failed & (probabilities(texts, weights, held.value["slope"], held.value["intercept"]) >= keep)))

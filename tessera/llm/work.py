@@ -64,6 +64,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+#: Spark's limit on what goes to and from Python at once; 64 MB by default, of which a task holds several copies.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From here on the session's Arrow batches have about ``size`` bytes at most, unless it has set a limit of its own."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, size)
+
+
 def discard(*settled: DataFrame) -> None:
     """Deletes settled tables.  Only for those that no frame still to be computed reads: later tables are written by then."""
     for df in settled:
