@@ -147,7 +147,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
     ids = np.concatenate([rows[i][0] for i in train])
     values = np.concatenate([rows[i][1] for i in train])
     owner = np.repeat(np.arange(len(train)), [len(rows[i][0]) for i in train])
-    used, column = np.unique(ids, return_inverse=True)
+    used = np.flatnonzero(np.bincount(ids, minlength=2 * _PLACES))
+    column = np.zeros(2 * _PLACES, dtype=np.intp)
+    column[used] = np.arange(len(used))
+    column = column[ids]
+    del ids
     y = labels[train].astype(float)
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(len(used)), 0.0
