@@ -13,16 +13,21 @@ import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.filters import KNOWN, Shuffle, lookup3
 
 MAGIC = b"\x89HDF\r\n\x1a\n"
 UNDEFINED = (1 << 64) - 1
+ROWS = 1 << 16
 OFFSETS = (0, 512, 1024, 2048, 4096)
 
 
@@ -517,8 +522,6 @@ class H5File:
         if ident not in KNOWN:
             raise FormatError(f"filter {ident} is not known")
         if ident == 32004:  # blocks: total size, block size, then each block's size and bytes
-            import pyarrow as pa
-
             total, block, at, out = int.from_bytes(raw[:8], "big"), int.from_bytes(raw[8:12], "big"), 12, b""
             if raw[:4] == b"\x04\x22\x4d\x18":
                 return KNOWN[ident]().backward(raw)
@@ -648,3 +651,89 @@ def load_h5(spark: SparkSession, path: str, name: str) -> DataFrame:
                 yield pd.DataFrame({"file": file, "idx": range(len(flat)), "value": [json.dumps(_plain(h5.resolve(v)), default=str) for v in flat]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, idx long, value string")
+
+
+_NUMBERS = {"i1": T.ByteType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "u1": T.ShortType(), "u2": T.IntegerType(), "u4": T.LongType(), "u8": T.DecimalType(20, 0), "f2": T.FloatType(), "f4": T.FloatType(), "f8": T.DoubleType()}
+
+
+def spark_type(kind: Kind) -> T.DataType:
+    """The column type of a datatype: the next wider one for unsigned numbers, addresses for references, bytes for what is opaque."""
+    if kind.dtype is not None:
+        return _NUMBERS.get(kind.dtype.str[1:], T.BinaryType())
+    if kind.cls == 3 or kind.cls == 9 and kind.text:
+        return T.StringType()
+    if kind.cls == 6:
+        return T.StructType([T.StructField(name, spark_type(k)) for name, _, k in kind.fields])
+    if kind.cls == 7:
+        return T.LongType()
+    if kind.cls == 9:
+        return T.ArrayType(spark_type(kind.base))
+    if kind.cls == 10:
+        found = spark_type(kind.base)
+        for _ in kind.dims:
+            found = T.ArrayType(found)
+        return found
+    return T.BinaryType()
+
+
+def _typed(value: Any, kind: T.DataType) -> Any:
+    if isinstance(value, Reference):
+        return value.address
+    if isinstance(value, dict):
+        return {f.name: _typed(value[f.name], f.dataType) for f in kind.fields}
+    if isinstance(value, list):
+        return [_typed(v, kind.elementType) for v in value]
+    return Decimal(value) if isinstance(kind, T.DecimalType) and value is not None else value
+
+
+def read_h5(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(file, idx, value): the elements of one dataset of each file in storage order, value with the dataset's own type.
+
+    The type is that of one file; a file where it differs raises, as does one without the dataset.  References are addresses
+    in their file, null elements are null, a dataset without elements makes no rows.  Rows leave in batches of ``ROWS``.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                node = H5File(content.as_py()).find(name)
+                if node.kind is None:
+                    raise FormatError(f"{name} is no dataset")
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(spark_type(node.kind).jsonValue())])], ["type"])
+
+    first = files.limit(1).select("content").mapInArrow(typed, "type string").first()
+    if first is None:
+        raise FileNotFoundError(path)
+    kind = T.StructType.fromJson({"type": "struct", "fields": [{"name": "value", "type": json.loads(first["type"]), "nullable": True, "metadata": {}}]})["value"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                h5 = H5File(content.as_py())
+                node = h5.find(name)
+                if node.kind is None or spark_type(node.kind) != kind:
+                    raise FormatError(f"{name} has another type in {file}")
+                value = h5.value(node)
+                if isinstance(value, np.ndarray):
+                    flat = value.ravel()
+                elif value is None:
+                    flat = []
+                else:
+                    flat = _flat(value, len(node.dims)) if node.dims else [value]
+                for at in range(0, len(flat), ROWS):
+                    part = flat[at : at + ROWS]
+                    if isinstance(part, np.ndarray) and not isinstance(kind, T.DecimalType):
+                        found = pa.array(part).cast(arrow)
+                    else:
+                        found = pa.array([_typed(v, kind) for v in (part.tolist() if isinstance(part, np.ndarray) else part)], arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(part)), pa.array(np.arange(at, at + len(part))), found], ["file", "idx", "value"])
+
+    return files.mapInArrow(run, T.StructType([T.StructField("file", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("value", kind)]))
+
+
+def _flat(items: list, rank: int) -> list:
+    for _ in range(rank - 1):
+        items = [x for inner in items for x in inner]
+    return items

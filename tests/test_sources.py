@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.filters import Shuffle, lookup3
 from tessera.plans.store import load
-from tessera.sources.hdf5 import FormatError, H5File, load_h5, scan_h5
+from tessera.sources.hdf5 import FormatError, H5File, load_h5, read_h5, scan_h5
 from tessera.streaming.ingest import append_rows, read_rows, write_stream
 
 
@@ -153,6 +153,39 @@ def test_h5_dense_groups_deeper_than_their_direct_blocks(offset):
     assert h.read("dense/n000") == 5 and h.read("dense/n139") == 5
 
 
+def old_header(*messages):
+    body = b"".join(struct.pack("<HHB3x", kind, len(raw), 0) + raw for kind, raw in messages)
+    return struct.pack("<BBHII4x", 1, 0, len(messages), 1, len(body)) + body
+
+
+@pytest.mark.parametrize("version", [0, 1])
+def test_h5_old_superblocks_and_symbol_tables(version):
+    blank, names = (1 << 64) - 1, [f"d{k}" for k in range(6)]
+    out = bytearray(24 + 4 * version + 32 + 40)
+    out += bytes(-len(out) % 8)
+
+    def add(raw):
+        at = len(out)
+        out.extend(raw + bytes(-len(raw) % 8))
+        return at
+
+    old_space = lambda *dims: struct.pack("<BBB5x", 1, len(dims), 0) + b"".join(struct.pack("<Q", d) for d in dims)
+    targets = [add(old_header((1, old_space(2)), (3, INT + bytes(4)), (8, bytes([3, 1]) + struct.pack("<QQ", add(struct.pack("<qq", k, -k)), 16) + bytes(6)))) for k in range(6)]
+    text = b"\0" * 8 + b"".join(n.encode().ljust(8, b"\0") for n in names)
+    heap = add(b"HEAP" + bytes(4) + struct.pack("<QQQ", len(text), blank, add(text)))
+    entry = lambda k: struct.pack("<QQII16x", 8 + 8 * k, targets[k], 0, 0)
+    leaves = [add(b"SNOD" + struct.pack("<BBH", 1, 0, 2) + entry(k) + entry(k + 1)) for k in (0, 2, 4)]
+    node = lambda level, children: add(b"TREE" + struct.pack("<BBHQQ", 0, level, len(children), blank, blank) + bytes(8) + b"".join(struct.pack("<QQ", c, 0) for c in children))
+    tree = node(1, [node(0, leaves[:2]), node(0, leaves[2:])])
+    root = add(old_header((0x11, struct.pack("<QQ", tree, heap))))
+    top = b"\x89HDF\r\n\x1a\n" + bytes([version, 0, 0, 0, 0, 8, 8, 0]) + struct.pack("<HHI", 4, 16, 0) + (struct.pack("<HH", 32, 0) if version else b"")
+    top += struct.pack("<QQQQ", 0, blank, len(out), blank) + struct.pack("<QQII16x", 0, root, 0, 0)
+    out[: len(top)] = top
+    h = H5File(bytes(out))
+    assert [n for n, _ in h.names()] == names
+    assert all(h.read(n).tolist() == [k, -k] for k, n in enumerate(names))
+
+
 def test_h5_damage():
     raw = sample()
     with pytest.raises(EOFError):
@@ -174,6 +207,28 @@ def test_h5_frames(spark, tmp_path):
     assert loaded.count() == 4 and loaded.select(F.get_json_object("value", "$.y").cast("double").alias("y")).agg(F.sum("y")).first()[0] == 4.0
 
 
+def test_h5_typed_frames(spark, tmp_path):
+    (tmp_path / "0.h5").write_bytes(sample())
+    (tmp_path / "1.h5").write_bytes(sample(512))
+    read = lambda name: read_h5(spark, f"{tmp_path}/*.h5", name)
+    values = lambda name: [r["value"] for r in read(name).where(F.col("file").endswith("1.h5")).orderBy("idx").collect()]
+    assert read("pairs").schema["value"].dataType.simpleString() == "struct<x:bigint,y:double>" and read("pairs").agg(F.sum("value.y")).first()[0] == 4.0
+    assert values("ints") == list(range(6)) and values("chunked") == list(range(10)) and values("one") == [2.5]
+    assert values("words") == ["hello", "é", ""] and values("fixed") == ["ab", "cd e"] and values("pairs")[1] == (2, 1.5)
+    first, second = values("refs")
+    assert first > 0 and second is None
+    b = Builder()
+    b.dataset("ints", DOUBLE, (1,), struct.pack("<d", 1))
+    unsigned = bytes([0x10, 0, 0, 0]) + struct.pack("<IHH", 8, 0, 64)
+    b.dataset("big", unsigned, (2,), struct.pack("<QQ", 0, (1 << 64) - 1))
+    b.dataset("none", INT, (0,), b"", compact=True)
+    (tmp_path / "2.other").write_bytes(b.done())
+    assert [int(r["value"]) for r in read_h5(spark, f"{tmp_path}/*.other", "big").orderBy("idx").collect()] == [0, (1 << 64) - 1]
+    assert read_h5(spark, f"{tmp_path}/*.other", "none").count() == 0
+    with pytest.raises(Exception, match="another type"):
+        read_h5(spark, f"{tmp_path}/*", "ints").collect()
+
+
 def test_streams(spark, tmp_path):
     source, store = str(tmp_path / "in"), str(tmp_path / "store")
     spark.range(10).write.parquet(source)
